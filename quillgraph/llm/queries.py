@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, media, storage, token_files, warc
+from quillgraph.llm import chat, decontaminate, media, mixing, quality, sharding, simhash, storage, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +83,79 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES = {"op3_warc": op3_warc, "op4_media": op4_media, "op8_token_files": op8_token_files, "op10_chat": op10_chat}
-ORACLES = {"op3_warc": OP3_SQL, "op10_chat": OP10_SQL}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sizes = docs.select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("x"), mixing.uniform(F.col("doc_id"), 17).alias("u")
+    )
+    sizes = storage.materialize(sizes, "mix-sizes")
+    mixed = mixing.mix(sizes, sizes=sizes)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+p AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, source_size * 3 AS cap FROM s),
+l AS (SELECT *,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
+  FROM p WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT source, source_size, CASE WHEN cap <= w * level THEN cap::DOUBLE ELSE w * (
+    (sum(source_size) OVER () - coalesce(sum(cap) FILTER (cap <= w * level) OVER (), 0))::DOUBLE
+    / nullif((sum(w) OVER () - coalesce(sum(w) FILTER (cap <= w * level) OVER (), 0))::DOUBLE, 0)) END AS target FROM l),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+q AS (SELECT *, floor(rate)::BIGINT AS sure,
+    CASE WHEN rate - floor(rate) > 0 AND size > 0
+      THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS rnk FROM r),
+c AS (SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS room,
+    CASE WHEN rnk IS NOT NULL THEN sum(CASE WHEN rnk IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rnk NULLS LAST, doc_id) END AS upto
+  FROM q),
+g1 AS (SELECT *, coalesce(upto <= room, false) AS pre,
+    room - coalesce(max(CASE WHEN upto <= room THEN upto END) OVER (PARTITION BY source), 0) AS gap1 FROM c),
+b1 AS (SELECT source AS s1, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -rnk, 'd': -doc_id}) AS f1
+  FROM g1 WHERE rnk IS NOT NULL AND NOT pre AND size <= gap1 GROUP BY source),
+g2 AS (SELECT g1.*, f1, gap1 - coalesce(f1.z, 0) AS gap2 FROM g1 LEFT JOIN b1 ON source IS NOT DISTINCT FROM s1),
+b2 AS (SELECT source AS s2, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -rnk, 'd': -doc_id}) AS f2
+  FROM g2 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND size <= gap2 GROUP BY source)
+SELECT doc_id, size, source_size, target,
+  (sure + CASE WHEN rnk IS NOT NULL AND (pre OR doc_id = f1.d OR doc_id = f2.d) THEN 1 ELSE 0 END) * size AS taken
+FROM g2 LEFT JOIN b2 ON source IS NOT DISTINCT FROM s2
+"""
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_table(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
+    "op4_media": op4_media,
+    "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op8_token_files": op8_token_files,
+    "op10_chat": op10_chat,
+}
+ORACLES = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat": OP10_SQL}
