@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontaminate, media, mixing, quality, sharding, simhash, storage, token_files, warc
+from quillgraph.llm import chat, decontaminate, line_dedup, media, mixing, quality, sharding, simhash, storage, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +147,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -156,6 +160,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat": OP10_SQL}
