@@ -16,8 +16,9 @@ one that holds the cut is ordered.
 
 Defined cases: a null text has size 0; null is a source of its own, after all
 others; a null doc_id hashes as ``null``; rows of one source with the same
-doc_id and rank are taken or left together; a source without words has target
-0 and copies 0; an empty table gives no rows; more columns stay with ``mix``.
+doc_id and rank are taken or left together; a source without words has target 0 and
+copies 0; an empty table gives no rows; more columns stay with ``mixed_rows``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -133,23 +134,26 @@ def _in_fill() -> Column:
     return F.exists("filled", lambda f: (f["rank"] == F.col("rank")) & f["doc_id"].eqNullSafe(F.col("doc_id")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=17, importance: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target and copies (how often the mix takes the row).
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=17, importance: Column | None = None, keep_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the row) of every row.
 
-    The text is read twice, for sizes and for the result; all decisions are
-    made on a narrow table. ``sizes`` may give that table when it is there.
+    All decisions are made on a narrow table. With ``keep_rows`` the texts are
+    read once more and each whole row comes along as the struct ``_row``.
     """
     x = importance if importance is not None else F.lit(1.0)
-    sizing = {"size": word_count(F.col("text")), "x": x.cast("double"), "u": uniform(F.col("doc_id"), seed)}
-    if sizes is None:
-        sizes = materialize(docs.select("doc_id", "source", *(c.alias(n) for n, c in sizing.items())), "mix-sizes")
-        rows = docs.withColumns(sizing)
-    else:
-        rows = docs
+    sizing = [word_count(F.col("text")).alias("size"), x.cast("double").alias("x"), uniform(F.col("doc_id"), seed).alias("u")]
+    sizes = materialize(docs.select("doc_id", "source", *sizing), "mix-sizes")
     per_source = materialize(targets(sizes, weights, max_repeats), "mix-targets")
     state = cuts(sizes, per_source, max_repeats)
     own = state.select("source", "source_size", "rows", "mass", "target", "cut_bucket", "last", "filled")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", *sizing) if keep_rows else sizes
     rows = _ranked(rows, own, max_repeats)
     more = F.col("rank").isNotNull() & (_in_prefix() | _in_fill())
     rows = rows.withColumn("copies", F.col("sure") + F.when(more, 1).otherwise(0))
-    return rows.drop("rows", "mass", "cut_bucket", "last", "filled", "rate", "sure", "rank", "bucket", "x", "u")
+    return rows.select(*(["_row"] if keep_rows else []), "doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    rows = mix(docs, keep_rows=True, **options)
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -84,12 +84,7 @@ FROM r GROUP BY conv_id
 """
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    sizes = docs.select(
-        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("x"), mixing.uniform(F.col("doc_id"), 17).alias("u")
-    )
-    sizes = storage.materialize(sizes, "mix-sizes")
-    mixed = mixing.mix(sizes, sizes=sizes)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -12,7 +12,7 @@ residual capacity is highest; that greedy pass is all that runs on the driver.
 Defined cases: a null text is its own group of size 1 byte (no bytes, plus 1)
 and no tokens; rows that repeat a doc_id and a text share a slice; a text
 longer than a shard's share is one item; an empty table gives no rows; more
-columns stay with ``assign``.
+columns stay with ``assign``, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,12 +84,14 @@ def units_of(rows: DataFrame, large: DataFrame) -> DataFrame:
     return rows.withColumn("unit", unit).drop("first_unit", "slices")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, extra: dict[str, Column] | None = None) -> DataFrame:
-    """The rows of ``docs`` with size and shard, without a shuffle of the texts; ``extra`` are further columns to keep."""
-    weighed = docs.withColumns(measures() | (extra or {}))
-    narrow = materialize(weighed.select("doc_id", "size", "tokens", "group_key"), "shard-sizes")
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs`` with ``shard`` (one that they had is replaced), without a shuffle of the texts."""
+    weights = [c.alias(n) for n, c in measures().items()]
+    narrow = materialize(docs.select("doc_id", *weights), "shard-sizes")
     large, units = plan(narrow, shards)
-    return units_of(weighed, large).join(F.broadcast(units), "unit").drop("unit", "tokens", "group_key")
+    kept = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", *weights)
+    return units_of(rows, large).join(F.broadcast(units), "unit").select("_row.*", "shard")
 
 
 def number_slots(rows: DataFrame) -> DataFrame:
