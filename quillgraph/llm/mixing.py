@@ -8,7 +8,8 @@ one more copy, with inclusion probability p the fraction left, documents of a
 source are ranked by ``(u / (1 - u)) / (p / (1 - p))``, u being a hash of the
 seed and doc_id, and the sample of fixed size, in words, is the prefix of that
 ranking that fits what the target leaves. What the prefix falls short by is
-filled with the best-fitting documents further down, ``FILLS`` times.
+made up with ``FILLS`` documents further down, each the one that brings the sum
+nearest to the target; only the last may go beyond it.
 
 The prefix is found without ranking a source in one task: the ranks fall into
 buckets in proportion to the source's rows, buckets are summed, and only the
@@ -31,7 +32,7 @@ from quillgraph.llm.storage import materialize
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BUCKET_ROWS = 5000
-FILLS = 2
+FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -110,11 +111,13 @@ def cuts(sizes: DataFrame, per_source: DataFrame, max_repeats: int = MAX_REPEATS
     state = _join(room, last, "left").withColumn("gap", F.col("room") - F.coalesce("reached", "below"))
     state = state.withColumn("filled", F.array().cast("array<struct<size:bigint,rank:double,doc_id:bigint>>"))
     state = materialize(state, "mix-cuts")
-    for _ in range(fills):
+    for left in reversed(range(fills)):
         spare = _join(ranked.select("source", "bucket", "rank", "doc_id", "size"), state.select("source", "cut_bucket", "last", "gap", "filled"))
-        spare = spare.filter(F.col("cut_bucket").isNotNull() & ~_in_prefix() & (F.col("size") <= F.col("gap")) & ~_in_fill())
+        off = F.abs(F.col("size") - F.col("gap"))
+        spare = spare.filter(F.col("cut_bucket").isNotNull() & ~_in_prefix() & ~_in_fill())
+        spare = spare.filter(F.col("size") <= F.col("gap") if left else off < F.col("gap"))
         best = spare.groupBy("source").agg(
-            F.max(F.struct("size", (-F.col("rank")).alias("rank"), (-F.col("doc_id")).alias("doc_id"))).alias("best")
+            F.max(F.struct((-off).alias("off"), "size", (-F.col("rank")).alias("rank"), (-F.col("doc_id")).alias("doc_id"))).alias("best")
         )
         best = best.select("source", F.struct("best.size", (-F.col("best.rank")).alias("rank"), (-F.col("best.doc_id")).alias("doc_id")).alias("best"))
         state = _join(state, best, "left")

@@ -115,10 +115,13 @@ b1 AS (SELECT source AS s1, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -
   FROM g1 WHERE rnk IS NOT NULL AND NOT pre AND size <= gap1 GROUP BY source),
 g2 AS (SELECT g1.*, f1, gap1 - coalesce(f1.z, 0) AS gap2 FROM g1 LEFT JOIN b1 ON source IS NOT DISTINCT FROM s1),
 b2 AS (SELECT source AS s2, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -rnk, 'd': -doc_id}) AS f2
-  FROM g2 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND size <= gap2 GROUP BY source)
+  FROM g2 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND size <= gap2 GROUP BY source),
+g3 AS (SELECT g2.*, f2, gap2 - coalesce(f2.z, 0) AS gap3 FROM g2 LEFT JOIN b2 ON source IS NOT DISTINCT FROM s2),
+b3 AS (SELECT source AS s3, arg_max({'d': doc_id}, {'o': -abs(size - gap3), 'z': size, 'r': -rnk, 'd': -doc_id}) AS f3
+  FROM g3 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND doc_id IS DISTINCT FROM f2.d AND abs(size - gap3) < gap3 GROUP BY source)
 SELECT doc_id, size, source_size, target,
-  (sure + CASE WHEN rnk IS NOT NULL AND (pre OR doc_id = f1.d OR doc_id = f2.d) THEN 1 ELSE 0 END) * size AS taken
-FROM g2 LEFT JOIN b2 ON source IS NOT DISTINCT FROM s2
+  (sure + CASE WHEN rnk IS NOT NULL AND (pre OR doc_id = f1.d OR doc_id = f2.d OR doc_id = f3.d) THEN 1 ELSE 0 END) * size AS taken
+FROM g3 LEFT JOIN b3 ON source IS NOT DISTINCT FROM s3
 """
 
 

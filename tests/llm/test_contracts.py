@@ -36,7 +36,8 @@ def test_op1_near_targets(spark, sf_dir, docs):
         taken[source[r["doc_id"]]] += r["taken"]
         target[source[r["doc_id"]]] = r["target"]
     assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 5 for s in target)
+    median = sorted(r["size"] for r in rows)[len(rows) // 2]  # ten documents a source here: within half of a usual one
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + median / 2 for s in target)
 
 
 def test_op2_finds_every_leak(spark, sf_dir, docs):
