@@ -7,7 +7,8 @@ cut into slices by doc_id, so that a group of a third of all rows spreads.
 All other groups are hashed into ``BUNDLES`` bundles. So the packer sees a
 number of items that depends on the parameters, never on the table. Items go,
 largest first, to the shard where the dot product of the item with the shard's
-residual capacity is highest; that greedy pass is all that runs on the driver.
+residual capacity is highest, and a bounded number of exchanges evens the rest;
+that is all that runs on the driver.
 
 Defined cases: a null text is its own group of size 1 byte (no bytes, plus 1)
 and no tokens; rows that repeat a doc_id and a text share a slice; a text
@@ -29,6 +30,9 @@ LARGE = 256
 SPLIT = 16
 BUNDLES = 8192
 SLOT_ROWS = 20000
+POLISH = 200
+#: What a deviation in bytes, tokens and rows counts when items are exchanged; the law is ``bytes``.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
 
 
 def measures() -> dict[str, Column]:
@@ -50,6 +54,32 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.argsort(-share.max(axis=1), kind="stable"):
         best = out[i] = int(np.argmax(residual @ share[i]))
         residual[best] -= share[i]
+    return _polish(share, out, 1 - residual)
+
+
+def _polish(share: np.ndarray, out: np.ndarray, loads: np.ndarray) -> np.ndarray:
+    """Exchange items between the fullest and the emptiest shard, in bytes, while all measures together get more even."""
+    order = np.argsort(share[:, 0], kind="stable")
+    for _ in range(POLISH):
+        high, low = int(np.argmax(loads[:, 0])), int(np.argmin(loads[:, 0]))
+        mine, theirs = order[out[order] == high], order[out[order] == low]
+        if high == low or not len(mine):
+            break
+        wanted = share[mine, 0] - (loads[high, 0] - loads[low, 0]) / 2
+        pair = np.searchsorted(share[theirs, 0], wanted)
+        other = np.concatenate([np.full(len(mine), -1), *(np.clip(pair + k, -1, len(theirs) - 1) for k in (-1, 0))])
+        mine = np.tile(mine, 3)
+        moved = share[mine] - np.where((other >= 0)[:, None], share[theirs[np.maximum(other, 0)]] if len(theirs) else 0.0, 0.0)
+        before = ((loads[[high, low]] - 1) ** 2 * WEIGHTS).sum()
+        after = ((loads[high] - moved - 1) ** 2 * WEIGHTS).sum(axis=1) + ((loads[low] + moved - 1) ** 2 * WEIGHTS).sum(axis=1)
+        best = int(np.argmin(after))
+        if after[best] >= before - 1e-12:
+            break
+        out[mine[best]] = low
+        if other[best] >= 0:
+            out[theirs[other[best]]] = high
+        loads[high] -= moved[best]
+        loads[low] += moved[best]
     return out
 
 
