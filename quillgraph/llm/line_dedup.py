@@ -2,19 +2,22 @@
 
 A line's set is its 8-character shingles (of UTF-16 units). Each distinct line
 is met once: its shingles are exploded below a hash aggregate on the line's
-64-bit hash, which is also how the rows are partitioned, so 36 minima are
+64-bit hash, which is also how the rows are partitioned, so 32 minima are
 taken in one stage without moving a shingle. A MinHash function is the least
-``hash XOR constant``. Nine bands of four minima give two lines of Jaccard
-similarity 0.8 a common bucket with probability 0.991, of 0.9 with 0.9999.
-
-Buckets of one are dropped by a pre-aggregated count. In the others every
-member is compared with the bucket's smallest line; members that do not match
-it are compared with all others of their bucket, so a pair of a bucket is
-either compared or already connected, and a bucket of copies costs one
-comparison a member. Jaccard similarity is computed exactly from both lines'
-shingles. Links are joined into components by the star rounds of
-``components``; of each component the first occurrence (by doc_id, nulls last,
-then the text's hash and the line's number) is kept and all others go.
+``hash XOR constant``. Eight bands of four minima give two lines of Jaccard
+similarity 0.8 a common bucket with probability 0.985, of 0.9 with 0.9998.
+
+Buckets of one are dropped by a pre-aggregated count. In the others each member
+is first compared with the bucket's smallest line and with two neighbours in
+the order of the next band's key, and the links found are joined into
+components. Then the pairs of a bucket that lie in different components are
+compared, so a pair is either compared or already connected, and the pairs of a
+group of copies are never listed. A comparison first counts the minima that
+agree (by four bits each): pairs of similarity 0.8 have at least ``AGREE`` of
+all with probability 0.99. Of those the Jaccard similarity is computed exactly
+from both lines' shingles. Of each component the first occurrence (by doc_id,
+nulls last, then the text's hash and the line's number) is kept and all others
+go.
 
 Broadcasts are only of tables counted to hold at most ``SMALL`` rows; beyond
 that the same join shuffles.
@@ -29,16 +32,17 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.storage import materialize
 
 SHINGLE = 8
-BANDS = 9
+BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
+AGREE = 20
 SMALL = 500_000
 LAST = (1 << 63) - 1
 
@@ -60,14 +64,16 @@ def _constants(n: int) -> list[int]:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """h and its band keys, one row per distinct line with a shingle."""
+    """h, its band keys and four bits of each minimum (``sig``), one row per distinct line with a shingle."""
     distinct = lines.select("h", "line").groupBy("h").agg(F.max("line").alias("line"))
     cells = distinct.select("h", _units(F.col("line")).alias("units")).filter(F.octet_length("units") >= 2 * SHINGLE)
     cells = cells.select("h", "units", F.explode(F.sequence(F.lit(0), (F.octet_length("units") / 2 - SHINGLE).cast("int"))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("v"))
     mins = [F.min(F.col("v").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants(bands * rows))]
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)]
-    return cells.groupBy("h").agg(*mins).select("h", F.array(*keys).alias("keys"))
+    half = bands * rows // 2
+    sig = F.array(*(_packed([f"m{j}" for j in part]) for part in (range(half), range(half, bands * rows))))
+    return cells.groupBy("h").agg(*mins).select("h", F.array(*keys).alias("keys"), sig.alias("sig"))
 
 
 def _hint(df: DataFrame) -> DataFrame:
@@ -76,13 +82,33 @@ def _hint(df: DataFrame) -> DataFrame:
 
 
 def bucket_members(signed: DataFrame) -> DataFrame:
-    """key, h, least: the members of all buckets of two and more lines."""
-    cells = signed.select("h", F.explode("keys").alias("key"))
+    """key, next_key, h, sig, least: the members of all buckets of two and more lines."""
+    cells = signed.select("h", "sig", "keys", F.posexplode("keys").alias("band", "key"))
+    cells = cells.withColumn("next_key", F.get("keys", (F.col("band") + 1) % F.size("keys"))).drop("keys", "band")
     shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")).filter("n > 1").select("key", "least")
     shared = materialize(shared, "lines-buckets")
     return materialize(cells.join(_hint(shared), "key"), "lines-members")
 
 
+def _packed(names: list[str]) -> Column:
+    """Four bits of each of 16 minima in one long."""
+    out = F.lit(0).cast("long")
+    for k, name in enumerate(names):
+        out = out.bitwiseOR(F.shiftleft(F.col(name).bitwiseAND(F.lit(15)), 4 * k))
+    return out
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether enough of two signatures' minima agree for an exact comparison."""
+    differ = F.lit(0)
+    for half in (0, 1):
+        x = F.get(a, half).bitwiseXOR(F.get(b, half))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= BANDS * ROWS - AGREE
+
+
 def _shingles(units: Column) -> Column:
     spots = F.sequence(F.lit(0), (F.octet_length(units) / 2 - SHINGLE).cast("int"))
     return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
@@ -96,19 +122,44 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)).select("a", "b")
 
 
+def first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member with its bucket's smallest line, and with the two before it in the order of the next band."""
+    heads = members.filter("h = least").select("key", F.col("h").alias("a"), F.col("sig").alias("a_sig"))
+    star = members.filter("h <> least").join(heads, "key").filter(_alike("sig", "a_sig")).select("a", F.col("h").alias("b"))
+    near = Window.partitionBy("key").orderBy("next_key", "h")
+    out = star
+    for back in (1, 2):
+        prior = members.withColumn("p", F.lag(F.struct("h", "sig"), back).over(near)).filter("p.h <> least")
+        prior = prior.withColumn("p_sig", F.col("p.sig")).filter(_alike("sig", "p_sig"))
+        out = out.union(prior.select(F.least("p.h", "h").alias("a"), F.greatest("p.h", "h").alias("b")))
+    return out.distinct()
+
+
+def other_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a bucket that are alike and that the links so far do not connect."""
+    known = members.select("key", "h", "sig").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    known = materialize(known.select("key", "h", "sig", F.coalesce("root", "h").alias("root")), "lines-known")
+    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    left = known.join(_hint(materialize(split, "lines-split")), "key").withColumnsRenamed({"h": "a", "sig": "a_sig", "root": "a_root"})
+    apart = (F.col("a") < F.col("h")) & (F.col("a_root") != F.col("root")) & _alike("a_sig", "sig")
+    both = left.join(known.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & apart)
+    return both.select("a", F.col("h").alias("b")).distinct()
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """h and units of every line of the pairs."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-wanted")
+    lines = line_table(docs).select("h", "line").join(_hint(wanted), "h", "left_semi")
+    return materialize(lines.groupBy("h").agg(F.max("line").alias("line")).select("h", _units(F.col("line")).alias("units")), "lines-texts")
+
+
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): similar lines, by hash; together they connect all similar lines that share a bucket."""
+    """(a, b): similar lines, by hash; they connect all similar lines that share a bucket."""
     members = bucket_members(signed)
-    star = members.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct()
-    wanted = materialize(members.select("h").distinct(), "lines-wanted")
-    lines = line_table(docs).select("h", "line").join(_hint(wanted), "h", "left_semi")
-    texts = materialize(lines.groupBy("h").agg(F.max("line").alias("line")).select("h", _units(F.col("line")).alias("units")), "lines-texts")
-    near = materialize(verified(star, texts), "lines-star")
-    rest = members.filter("h <> least").join(near.withColumnsRenamed({"a": "least", "b": "h"}), ["least", "h"], "left_anti")
-    rest = rest.select("key", F.col("h").alias("r"), "least")
-    more = rest.join(members.select("key", "h"), "key").filter("r <> h AND h <> least")
-    more = more.select(F.least("r", "h").alias("a"), F.greatest("r", "h").alias("b")).distinct()
-    return near.unionByName(verified(more, texts))
+    pairs = materialize(first_pairs(members), "lines-pairs")
+    near = materialize(verified(pairs, _texts(docs, pairs)), "lines-near")
+    rest = materialize(other_pairs(members, connected_components(near)), "lines-rest")
+    return near if rest.isEmpty() else near.unionByName(verified(rest, _texts(docs, rest)))
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
