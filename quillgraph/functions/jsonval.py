@@ -25,8 +25,11 @@ class Val:
     rank: Column
     num: Column
     txt: Column
+    whole: Column | None = None
 
     def key(self) -> Column:
+        if self.whole is not None:
+            return self.whole
         return F.struct(self.rank.cast("int").alias("rank"), self.num.cast("double").alias("num"), self.txt.alias("txt"))
 
 
@@ -73,13 +76,24 @@ def rank_of(kind: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the optimizer would else copy its expression to each place of use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def of_variant(v: Column) -> Val:
-    rank = rank_of(json_type(v))
+    """A VARIANT's parts; parsed, and its type taken, once a row."""
+    k = let(v, lambda x: let(json_type(x), lambda kind: _key(x, kind)))
+    return Val(k["rank"], k["num"], k["txt"], k)
+
+
+def _key(v: Column, kind: Column) -> Column:
+    rank = rank_of(kind)
     num = F.when(rank == NUMBER, F.try_variant_get(v, "$", "double")).when(
         rank == BOOL, F.try_variant_get(v, "$", "boolean").cast("int").cast("double")
     )
     txt = F.when(rank == STRING, F.try_variant_get(v, "$", "string")).when(rank == COMPOSITE, F.to_json(v))
-    return Val(rank, F.coalesce(num, F.lit(0.0)), F.coalesce(txt, F.lit("")))
+    return Val(rank, F.coalesce(num, F.lit(0.0)), F.coalesce(txt, F.lit(""))).key()
 
 
 def field(name: str, columns: list[str] = (), data: str = "data") -> Val:

@@ -102,6 +102,13 @@ def validate(expr: Expr) -> None:
         level += [(c, depth + 1) for c in node.children()]
 
 
+def walk(expr: Expr):
+    """The expression and all below it."""
+    yield expr
+    for c in expr.children():
+        yield from walk(c)
+
+
 def literal_value(e: Expr):
     """The JSON value that a literal stands for under its declared type."""
     v = e.val
@@ -149,9 +156,25 @@ class Compiler:
 
     def __init__(self, columns: list[str], item: str = "item"):
         self.columns, self.item = list(columns), item
+        self.bound: dict[str, Column] = {}  # the fields' keys, each computed once a row
 
     def condition(self, expr: Expr) -> Column:
         """True exactly where the predicate's value is the JSON value true."""
+        names = sorted({e.field for e in walk(expr) if e.kind == "get" and e.field is not None})
+        if not names:
+            return self._true(expr)
+        keys = F.struct(*(J.field(n, self.columns).key().alias(f"f{i}") for i, n in enumerate(names)))
+
+        def body(bound: Column) -> Column:
+            self.bound = {n: bound[f"f{i}"] for i, n in enumerate(names)}
+            try:
+                return self._true(expr)
+            finally:
+                self.bound = {}
+
+        return J.let(keys, body)
+
+    def _true(self, expr: Expr) -> Column:
         v = self.value(expr)
         return (v.rank == J.BOOL) & (v.num == 1.0)
 
@@ -159,7 +182,9 @@ class Compiler:
         if e.kind == "lit":
             return J.literal(literal_value(e))
         if e.kind == "get":
-            v = J.field(self._field(e), self.columns)
+            name = self._field(e)
+            k = self.bound.get(name)
+            v = J.field(name, self.columns) if k is None else Val(k["rank"], k["num"], k["txt"])
             return Val(F.when(v.rank == J.ABSENT, J.NULL).otherwise(v.rank), v.num, v.txt)
         if e.kind == "un":
             return self._unary(e)
