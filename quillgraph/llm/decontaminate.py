@@ -6,7 +6,9 @@ most ``k = floor((1 - SIMILARITY) * W)`` word edits.
 
 A window is as long as its item. With k edits at least one of the item's k + 1
 equal parts is untouched, so windows are laid only where a run of
-``W // (k + 1)`` words equals one of the item's; that loses nothing. Windows
+``W // (k + 1)`` words equals one of the item's; that loses nothing. A window
+belongs to the text of its run; where it reaches beyond that text's ends (an
+item that lacks its first or last words) the words there are read as none. Windows
 and items are embedded by a CGK random walk: step j puts out the current word
 and moves on if a random bit of (j, word) says so, for 3 W steps, which keeps
 words that edits shifted aligned. A repetition samples ``SAMPLED`` positions of
@@ -98,13 +100,14 @@ def words_of(text: str | None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, U)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK: one row of ``steps`` outputs per window (0 after its end)."""
+def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, stops: np.ndarray, walk: int, steps: int) -> np.ndarray:
+    """CGK: one row of ``steps`` outputs per window (0 after its end and outside of its text, firsts to stops)."""
     out = np.zeros((len(starts), steps), U)
     i = np.zeros(len(starts), np.int64)
     last = len(words) - 1
     for j in range(steps):
-        here = np.where(i < sizes, words[np.minimum(starts + i, last)], U(0))
+        at = starts + i
+        here = np.where((i < sizes) & (at >= firsts) & (at < stops), words[np.clip(at, 0, last)], U(0))
         out[:, j] = here
         i += (_mix(here, walk * 1_000_003 + j + 7) >> U(63)).astype(np.int64)
     return out
@@ -173,11 +176,11 @@ class Matcher:
             h = h * U(_BASE) + words[i : i + n]
         return _mix(h, 3)
 
-    def _keys_of(self, words, starts, sizes):
+    def _keys_of(self, words, starts, sizes, firsts, stops):
         """Keys of all repetitions, one row per window."""
         out = np.zeros((len(starts), self.walks * self.per_walk), U)
         for walk in range(self.walks):
-            e = embed(words, starts, sizes, walk, self.steps)
+            e = embed(words, starts, sizes, firsts, stops, walk, self.steps)
             for s in np.unique(sizes):
                 rows = np.flatnonzero(sizes == s)
                 for rep in range(self.per_walk):
@@ -192,14 +195,18 @@ class Matcher:
             return
         words = np.concatenate(self.words)
         starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        keys = self._keys_of(words, starts, self.size)
+        keys = self._keys_of(words, starts, self.size, starts, starts + self.size)
         item = np.repeat(np.arange(len(self.ids)), keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.key_item = keys.ravel()[order], item[order]
 
-    def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, sizes) of the windows that share an untouched run with an item."""
-        found = []
+    def windows(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, starts, sizes) of the windows that share an untouched run with an item.
+
+        ``ends`` are the places after each text's gap. A start may lie before
+        its text, so it is counted as if the longest item's words were free there.
+        """
+        found, free = [], int(self.size.max())
         for g, (h, offset, size) in self.seeds.items():
             runs = self._runs(words, g)
             maybe = np.flatnonzero(self.maps[g][(runs >> U(44)).astype(np.int64)])
@@ -207,20 +214,24 @@ class Matcher:
             n = hi - lo
             at = np.repeat(maybe, n)
             pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            found.append(np.maximum(at - offset[pick], 0) << 20 | size[pick])
+            row = np.searchsorted(ends, at, "right")
+            found.append(at - offset[pick] + (row + 1) * free << 20 | size[pick])
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return both >> 20, both & (1 << 20) - 1
-
-    def candidates(self, words: np.ndarray):
-        """(start, item) pairs with a common key."""
-        starts, sizes = self.windows(words)
-        pairs: set[tuple[int, int]] = set()
+        starts = both >> 20
+        rows = np.searchsorted(ends + np.arange(1, len(ends) + 1) * free, starts, "right")
+        return rows, starts - (rows + 1) * free, both & (1 << 20) - 1
+
+    def candidates(self, words: np.ndarray, ends: np.ndarray):
+        """(row, start, item) triples with a common key."""
+        rows, starts, sizes = self.windows(words, ends)
+        firsts, stops = np.concatenate([[0], ends[:-1]]), ends - 1
+        pairs: set[tuple[int, int, int]] = set()
         for at in range(0, len(starts), 4096):
-            s, z = starts[at : at + 4096], sizes[at : at + 4096]
-            keys = self._keys_of(words, s, z)
+            r, s, z = rows[at : at + 4096], starts[at : at + 4096], sizes[at : at + 4096]
+            keys = self._keys_of(words, s, z, firsts[r], stops[r])
             lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             for row, col in zip(*np.nonzero(hi > lo), strict=True):
-                pairs.update((int(s[row]), int(i)) for i in self.key_item[lo[row, col] : hi[row, col]])
+                pairs.update((int(r[row]), int(s[row]), int(i)) for i in self.key_item[lo[row, col] : hi[row, col]])
         return pairs
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, float, int]]:
@@ -232,8 +243,7 @@ class Matcher:
         words = np.concatenate([x for p in parts for x in (p, gap)])  # a word of its own between texts
         ends = np.cumsum([len(p) + 1 for p in parts])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for start, item in sorted(self.candidates(words)):
-            row = int(np.searchsorted(ends, start, "right"))
+        for row, start, item in sorted(self.candidates(words, ends)):
             first, stop = (int(ends[row - 1]) if row else 0), int(ends[row]) - 1
             k, n = int(self.most[item]), int(self.size[item])
             if (row, item) in best and best[row, item][0] == 0:

@@ -83,3 +83,20 @@ def test_pipeline_stage_links_similar_documents(spark, sf_dir):
     rows = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     pairs = [(a, b) for a, b in brute_similar([r["text"] for r in rows]) if rows[a]["text"] != rows[b]["text"]]
     assert pairs and not any(rows[a]["doc_id"] in kept and rows[b]["doc_id"] in kept for a, b in pairs)
+
+
+def test_leaks_without_their_first_or_last_words_at_the_ends_of_texts():
+    import random
+
+    from quillgraph.llm import decontaminate
+
+    rng, items, texts = random.Random(4), [], []
+    for i in range(100):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(20, 59))]
+        items.append((i, " ".join(words)))
+        lost = rng.randint(1, int(0.2 * len(words) + 1e-9))
+        texts.append(" ".join(words[lost:] + ["y"] * 30) if i % 3 else " ".join(["x"] * 30 + words[:-lost]))
+    matcher = decontaminate.Matcher(items)
+    together = {r for r, i, *_ in matcher.search(texts) if r == i}
+    alone = {r for r in range(100) if any(i == r for _, i, *_ in matcher.search([texts[r]]))}
+    assert together == alone and len(together) >= decontaminate.RECALL * 100
