@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import jsonval as J
-from quillgraph.model import NODE_COLUMNS, Requester
+from quillgraph.model import MAX_LIMIT, NODE_COLUMNS, Requester
 from quillgraph.operators import aggregate as A
 from quillgraph.operators import changes as C
 from quillgraph.operators import feed, graph, integrity, mutate, stats
@@ -183,6 +183,13 @@ def keyset_all_pages(spark, sf_dir):
     return spark.createDataFrame([(i + 1, a) for i, a in enumerate(rows)], "rn int, address string")
 
 
+@query(f"WITH {MIX} SELECT row_number() OVER (ORDER BY r, n, s, address) AS rn, address FROM x")
+def keyset_whole_table(spark, sf_dir):
+    nodes = cut(src.mixed_nodes(spark, sf_dir))
+    rows = [r.address for p in Q.pages(nodes, Q.Query(order="m", limit=MAX_LIMIT)) for r in p.rows]
+    return spark.createDataFrame([(i + 1, a) for i, a in enumerate(rows)], "rn int, address string")
+
+
 @query(f"WITH {ORD} SELECT row_number() OVER (ORDER BY address) - 100 AS rn, address FROM o QUALIFY rn BETWEEN 1 AND 20")
 def offset_page(spark, sf_dir):
     return ranked(Q.page_frame(src.order_nodes(spark, sf_dir), Q.Query(kind="Order", order="id", limit=20, offset=100)), "address")
