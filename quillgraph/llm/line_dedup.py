@@ -1,49 +1,52 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's set is its 8-character shingles (of UTF-16 units). Each distinct line
-is met once: its shingles are exploded below a hash aggregate on the line's
-64-bit hash, which is also how the rows are partitioned, so 32 minima are
-taken in one stage without moving a shingle. A MinHash function is the least
-``hash XOR constant``. Eight bands of four minima give two lines of Jaccard
-similarity 0.8 a common bucket with probability 0.985, of 0.9 with 0.9998.
-
-Buckets of one are dropped by a pre-aggregated count. In the others each member
-is first compared with the bucket's smallest line and with two neighbours in
-the order of the next band's key, and the links found are joined into
-components. Then the pairs of a bucket that lie in different components are
-compared, so a pair is either compared or already connected, and the pairs of a
-group of copies are never listed. A comparison first counts the minima that
-agree (by four bits each): pairs of similarity 0.8 have at least ``AGREE`` of
-all with probability 0.99. Of those the Jaccard similarity is computed exactly
-from both lines' shingles. Of each component the first occurrence (by doc_id,
+A line's set is its 8-character shingles (of UTF-16 units). Shingles are
+exploded below a hash aggregate on the line's 64-bit hash, which merges
+repeated lines before its shuffle; neither a shingle nor a text moves. A
+MinHash function is the least rotation of a shingle's hash; the functions
+rotate by four bits each. The 16 minima are laid out as the points of the
+affine plane over four elements, and each of its 20 lines of four points is a
+band. Whichever minima agree, six or fewer that differ leave a band whole, so
+16 functions give lines of Jaccard similarity 0.8 a common bucket with
+probability 0.994 (10 to 400 shingles alike, by simulation), of 0.9 with 0.9999.
+
+A bucket of two is its pair. In a larger one each member is compared with the
+bucket's hub, the member whose buckets are largest, and the links found are
+joined into components. Where a bucket still holds several components, the
+members of different components are compared by a join that has the exact
+Jaccard similarity as its condition: rows come out for links only, in blocks of
+``BLOCK`` members, and a pair is compared in the first bucket it shares. So a
+pair of a bucket is either compared exactly or already connected; nothing is
+estimated or capped. Work grows with the members that no link connects, not
+with groups of copies.
+
+Lines of under eight units have no shingle; equal ones are one line, as equal
+lines of any length are. Of each component the first occurrence (by doc_id,
 nulls last, then the text's hash and the line's number) is kept and all others
-go.
+go. Empty lines have no content and stay.
 
-Broadcasts are only of tables counted to hold at most ``SMALL`` rows; beyond
-that the same join shuffles.
+Joins by line or bucket broadcast the at most ``HOT`` keys that hold the
+``HOT``-th part of the rows each, and shuffle the others; a table counted to
+hold at most ``SMALL`` rows is broadcast whole.
 
-Defined cases: a null text is one empty line; lines under eight units have no
-shingle and stay; identical rows (doc_id and text) keep the same lines; very
-long lines are shingled whole; an empty table gives no rows; more columns stay
-with ``dedupe_lines``.
+Defined cases: a null text is one empty line; identical rows (doc_id and text)
+keep the same lines; very long lines are shingled whole; an empty table gives
+no rows; more columns, whatever their names, stay with ``dedupe_lines``.
 """
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected_components
-from quillgraph.llm.storage import materialize
+from quillgraph.llm.storage import materialize, spread_join
 
 SHINGLE = 8
-BANDS = 8
-ROWS = 4
+SIDE = 4
+MINIMA = SIDE * SIDE
 SIMILARITY = 0.8
-AGREE = 20
-SMALL = 500_000
+BLOCK = 1024
 LAST = (1 << 63) - 1
 
 
@@ -58,149 +61,176 @@ def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _constants(n: int) -> list[int]:
-    rng = random.Random(20240501)
-    return [rng.getrandbits(63) * rng.choice((1, -1)) for _ in range(n)]
+def _times(a: int, b: int) -> int:
+    """The product in the field of four elements (polynomials over bits, modulo x^2 + x + 1)."""
+    out = (a if b & 1 else 0) ^ (a << 1 if b & 2 else 0)
+    return out ^ 0b111 if out & 4 else out
+
+
+def bands() -> list[list[int]]:
+    """The lines of the plane of SIDE x SIDE points: all of one x, and y = s x + c of each slope s."""
+    upright = [[x * SIDE + y for y in range(SIDE)] for x in range(SIDE)]
+    return upright + [[x * SIDE + (_times(s, x) ^ c) for x in range(SIDE)] for s in range(SIDE) for c in range(SIDE)]
+
 
+def _turned(v: Column, bits: int) -> Column:
+    return F.shiftleft(v, bits).bitwiseOR(F.shiftrightunsigned(v, 64 - bits)) if bits else v
 
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """h, its band keys and four bits of each minimum (``sig``), one row per distinct line with a shingle."""
-    distinct = lines.select("h", "line").groupBy("h").agg(F.max("line").alias("line"))
-    cells = distinct.select("h", _units(F.col("line")).alias("units")).filter(F.octet_length("units") >= 2 * SHINGLE)
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """h and the keys of its buckets, one row per distinct line with a shingle."""
+    cells = lines.select("h", _units(F.col("line")).alias("units")).filter(F.octet_length("units") >= 2 * SHINGLE)
     cells = cells.select("h", "units", F.explode(F.sequence(F.lit(0), (F.octet_length("units") / 2 - SHINGLE).cast("int"))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("v"))
-    mins = [F.min(F.col("v").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants(bands * rows))]
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)]
-    half = bands * rows // 2
-    sig = F.array(*(_packed([f"m{j}" for j in part]) for part in (range(half), range(half, bands * rows))))
-    return cells.groupBy("h").agg(*mins).select("h", F.array(*keys).alias("keys"), sig.alias("sig"))
+    mins = cells.groupBy("h").agg(*(F.min(_turned(F.col("v"), 64 // MINIMA * j)).alias(f"m{j}") for j in range(MINIMA)))
+    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(bands())]
+    return mins.select("h", F.array(*keys).alias("keys"))
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    """A broadcast for a table of at most SMALL rows, which is counted here; else the table as it is."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """key, next_key, h, sig, least: the members of all buckets of two and more lines."""
-    cells = signed.select("h", "sig", "keys", F.posexplode("keys").alias("band", "key"))
-    cells = cells.withColumn("next_key", F.get("keys", (F.col("band") + 1) % F.size("keys"))).drop("keys", "band")
-    shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")).filter("n > 1").select("key", "least")
+def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (a, b) of the buckets of two lines; key, n, h of all larger ones."""
+    cells = signed.select("h", F.explode("keys").alias("key"))
+    shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).filter("n > 1")
     shared = materialize(shared, "lines-buckets")
-    return materialize(cells.join(_hint(shared), "key"), "lines-members")
+    members = spread_join(cells, shared.filter("n > 2").select("key", "n", F.col("n").alias("size")), "key", "size")
+    return shared.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")), materialize(members, "lines-members")
 
 
-def _packed(names: list[str]) -> Column:
-    """Four bits of each of 16 minima in one long."""
-    out = F.lit(0).cast("long")
-    for k, name in enumerate(names):
-        out = out.bitwiseOR(F.shiftleft(F.col(name).bitwiseAND(F.lit(15)), 4 * k))
-    return out
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the member that meets most lines in all its buckets."""
+    mass = materialize(members.groupBy("h").agg(F.sum("n").alias("mass"), F.count("*").alias("times")), "lines-mass")
+    weighed = spread_join(members, mass, "h", "times")
+    hubs = materialize(weighed.groupBy("key").agg(F.max_by("h", "mass").alias("hub"), F.count("*").alias("size")), "lines-hubs")
+    return spread_join(members.select("key", "h"), hubs, "key", "size").filter("h <> hub").select(*_pair(F.col("h"), F.col("hub")))
 
 
-def _alike(a: str, b: str) -> Column:
-    """Whether enough of two signatures' minima agree for an exact comparison."""
-    differ = F.lit(0)
-    for half in (0, 1):
-        x = F.get(a, half).bitwiseXOR(F.get(b, half))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= BANDS * ROWS - AGREE
+def _shingles(units: Column) -> Column:
+    """The distinct hashes; the outer transform binds the bytes, which a lambda would else copy for each shingle."""
+    spots = lambda u: F.sequence(F.lit(1), F.octet_length(u) - (2 * SHINGLE - 1), F.lit(2))
+    hashes = F.transform(F.array(units), lambda u: F.transform(spots(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.flatten(hashes))
 
 
-def _shingles(units: Column) -> Column:
-    spots = F.sequence(F.lit(0), (F.octet_length(units) / 2 - SHINGLE).cast("int"))
-    return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+def _similar(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
+    common = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y)) - F.lit(1e-9)
+    return sizes & (common >= similarity * (F.size(x) + F.size(y) - common) - F.lit(1e-9))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this exact Jaccard similarity of shingles."""
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "units": "ua"}), "a").join(texts.withColumnsRenamed({"h": "b", "units": "ub"}), "b")
-    both = both.withColumns({"sa": _shingles(F.col("ua")), "sb": _shingles(F.col("ub"))}).drop("ua", "ub")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)).select("a", "b")
-
-
-def first_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member with its bucket's smallest line, and with the two before it in the order of the next band."""
-    heads = members.filter("h = least").select("key", F.col("h").alias("a"), F.col("sig").alias("a_sig"))
-    star = members.filter("h <> least").join(heads, "key").filter(_alike("sig", "a_sig")).select("a", F.col("h").alias("b"))
-    near = Window.partitionBy("key").orderBy("next_key", "h")
-    out = star
-    for back in (1, 2):
-        prior = members.withColumn("p", F.lag(F.struct("h", "sig"), back).over(near)).filter("p.h <> least")
-        prior = prior.withColumn("p_sig", F.col("p.sig")).filter(_alike("sig", "p_sig"))
-        out = out.union(prior.select(F.least("p.h", "h").alias("a"), F.greatest("p.h", "h").alias("b")))
-    return out.distinct()
-
-
-def other_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): the pairs of a bucket that are alike and that the links so far do not connect."""
-    known = members.select("key", "h", "sig").join(roots.withColumnRenamed("node", "h"), "h", "left")
-    known = materialize(known.select("key", "h", "sig", F.coalesce("root", "h").alias("root")), "lines-known")
-    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    left = known.join(_hint(materialize(split, "lines-split")), "key").withColumnsRenamed({"h": "a", "sig": "a_sig", "root": "a_root"})
-    apart = (F.col("a") < F.col("h")) & (F.col("a_root") != F.col("root")) & _alike("a_sig", "sig")
-    both = left.join(known.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & apart)
-    return both.select("a", F.col("h").alias("b")).distinct()
-
-
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """h and units of every line of the pairs."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-wanted")
-    lines = line_table(docs).select("h", "line").join(_hint(wanted), "h", "left_semi")
+    both = both.select("a", "b", _shingles(F.col("ua")).alias("sa"), _shingles(F.col("ub")).alias("sb"))
+    return both.filter(_similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
+
+
+def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, n, h, root, main, own of the buckets whose members lie in different components.
+
+    ``main`` tells the bucket's largest component; ``own`` lists the line's split
+    buckets that come before this one (larger first). A bucket all of whose
+    members share an earlier one has no pair of its own and is left out.
+    """
+    known = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left")
+    known = materialize(known.select("key", "n", "h", F.coalesce("root", "h").alias("root")), "lines-known")
+    parts = known.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
+    split = parts.agg(F.max_by("root", "size").alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size")).filter("parts > 1")
+    rows = spread_join(known, materialize(split.select("key", "most", "size"), "lines-split"), "key", "size")
+    place = F.struct((-F.col("n")).alias("n"), "key")
+    before = rows.groupBy("h").agg(F.collect_list(place).alias("places"))
+    earlier = F.transform(F.filter("places", lambda p: p < place), lambda p: p["key"])
+    rows = materialize(rows.join(before, "h").select("key", "n", "h", "root", (F.col("root") == F.col("most")).alias("main"), earlier.alias("own")), "lines-split")
+    within = rows.select("key", "n", F.explode("own").alias("k")).groupBy("key", "k").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c = n")
+    return rows.join(within.select("key").distinct(), "key", "left_anti")
+
+
+def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): the similar lines of different components that share a bucket.
+
+    The members outside of a bucket's largest component are compared with all others.
+    """
+    rows = split.join(texts, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = rows.filter("NOT main").withColumn("block", F.pmod("h", "blocks").cast("int"))
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # texts, not sets, are shuffled: the sets are made in the tasks that compare them
+    left, right = (
+        side.select("key", "block", "h", "root", "main", "own", "units").repartition("key", "block")
+        .select("key", "block", "h", "root", "main", "own", _shingles(F.col("units")).alias("s"))
+        for side in (left, right)
+    )
+    right = right.toDF("key", "block", "h2", "root2", "main2", "own2", "s2")
+    apart = (F.col("root") != F.col("root2")) & (F.col("main2") | (F.col("h") < F.col("h2")))
+    new = apart & ~F.arrays_overlap("own", "own2") & _similar(F.col("s"), F.col("s2"), similarity)
+    both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & new)
+    return both.select(*_pair(F.col("h"), F.col("h2")))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h and units of every line of ``wanted`` (h, unique)."""
+    lines = line_table(docs).select("h", "line")
+    lines = spread_join(lines, materialize(wanted, "lines-wanted").withColumn("times", F.lit(1)), "h", "times")
     return materialize(lines.groupBy("h").agg(F.max("line").alias("line")).select("h", _units(F.col("line")).alias("units")), "lines-texts")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): similar lines, by hash; they connect all similar lines that share a bucket."""
-    members = bucket_members(signed)
-    pairs = materialize(first_pairs(members), "lines-pairs")
-    near = materialize(verified(pairs, _texts(docs, pairs)), "lines-near")
-    rest = materialize(other_pairs(members, connected_components(near)), "lines-rest")
-    return near if rest.isEmpty() else near.unionByName(verified(rest, _texts(docs, rest)))
+    twos, members = buckets(signed)
+    pairs = materialize(twos.unionByName(hub_pairs(members)).distinct(), "lines-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    texts = _texts(docs, ends.unionByName(members.select("h")).distinct())
+    near = materialize(verified(pairs, texts), "lines-near")
+    split = materialize(split_members(members, connected_components(near)), "lines-split")
+    return near if split.isEmpty() else near.unionByName(other_links(split, texts))
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, roots): every line's doc_id, text_hash, line_no, h, and h -> smallest h of its component."""
-    seen = materialize(line_table(docs).withColumn("short", F.octet_length(_units(F.col("line"))) < 2 * SHINGLE).drop("line"), "lines-seen")
+    seen = materialize(line_table(docs).withColumn("blank", F.col("line") == "").drop("line"), "lines-seen")
     signed = materialize(signatures(line_table(docs)), "lines-signed")
     roots = connected_components(links(docs, signed))
     return seen, roots.select(F.col("node").alias("h"), "root")
 
 
-def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, dropped): dropped has doc_id, text_hash, line_no of every line that an earlier one stands for."""
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no of every line that an earlier one stands for."""
     seen, roots = line_classes(docs)
-    rows = seen.filter("NOT short").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    rows = rows.select("root", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text_hash", "line_no", "doc_id")
-    place = F.struct("d", "text_hash", "line_no")
-    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    gone = rows.join(first, "root").filter(place != F.col("first"))
-    return seen, gone.select("doc_id", "text_hash", "line_no").distinct()
+    seen = seen.filter("NOT blank").drop("blank")
+    times = seen.groupBy("h").agg(F.count("*").alias("times"))
+    kinds = materialize(times.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "lines-kinds")
+    many = kinds.groupBy("root").agg(F.sum("times").alias("n"), F.count("*").alias("size")).filter("n > 1")
+    many = materialize(many.select("root", "size"), "lines-many")
+    repeated = materialize(spread_join(kinds, many, "root", "size").select("h", "root", "times"), "lines-repeated")
+    rows = spread_join(seen, repeated, "h", "times").drop("h")
+    rows = materialize(rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))), "lines-rows")
+    place = ["d", "text_hash", "line_no"]
+    first = rows.groupBy("root").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
+    return rows.join(first, place, "left_anti").select("doc_id", "text_hash", "line_no").distinct()
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """d, t, gone: the numbers of a text's dropped lines."""
+    return dropped_lines(docs).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (line numbers) of every document row."""
-    seen, gone = dropped_lines(docs)
-    flags = gone.withColumn("gone", F.lit(True)).withColumnsRenamed({"doc_id": "d", "text_hash": "t", "line_no": "l"})
-    rows = seen.join(flags, seen["doc_id"].eqNullSafe(flags["d"]) & (seen["text_hash"] == flags["t"]) & (seen["line_no"] == flags["l"]), "left")
-    per = rows.groupBy("doc_id", "text_hash").agg(
-        F.count(F.when(F.col("line_no") == 0, 1)).alias("copies"), F.count("*").alias("n"),
-        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("dropped"),
-    )
-    lines = (F.col("n") / F.col("copies")).cast("long")
-    per = per.select("doc_id", lines.alias("n_lines"), (lines - F.size("dropped")).alias("n_kept"), "dropped", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_"))
-    return per.drop("_")
+    text, lists = F.coalesce("text", F.lit("")), _gone(docs)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
+    rows = rows.join(lists, rows["doc_id"].eqNullSafe(lists["d"]) & (rows["text_hash"] == lists["t"]), "left")
+    dropped = F.coalesce("gone", F.array().cast("array<int>"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the dropped lines; a document that keeps no line has an empty text."""
-    _, gone = dropped_lines(docs)
-    lists = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_set("line_no").alias("_gone"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    rows = rows.join(lists, rows["doc_id"].eqNullSafe(lists["_d"]) & (F.col("_h") == F.col("_t")), "left")
-    cut = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(cut, "\n"))).select(docs.columns)
+    lists, text = _gone(docs), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("text_hash"))
+    rows = rows.join(lists, rows["id"].eqNullSafe(lists["d"]) & (rows["text_hash"] == lists["t"]), "left")
+    lines = F.filter(F.split(F.col("row")["text"], "\n", -1), lambda _, i: ~F.array_contains("gone", i))
+    kept = F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(F.array_join(lines, "\n"))
+    return rows.select(*(kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

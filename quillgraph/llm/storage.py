@@ -17,6 +17,7 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -43,6 +44,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL = 200_000
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; ``weight`` is how many of ``rows`` have that key), without it.
+
+    A table of at most ``SMALL`` rows, counted here unless ``total`` (the sum of
+    weights, or a bound on it) says so, is broadcast. Otherwise the keys of at
+    least the ``HOT``-th part of all weights, of which there are at most ``HOT``,
+    are broadcast, and the rest is an ordinary join: no task gets a hot key's rows.
+    The table is read up to three times, so it should be a written one.
+    """
+    if total is None:
+        total = SMALL if table.limit(SMALL + 1).count() <= SMALL else table.agg(F.sum(weight)).first()[0]
+    if total <= SMALL:
+        return rows.join(F.broadcast(table.drop(weight)), key)
+    hot = F.broadcast(table.filter(F.col(weight) * HOT >= total).drop(weight))
+    cold = table.filter(F.col(weight) * HOT < total).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     spark = df.sparkSession
