@@ -2,18 +2,19 @@
 
 A line's set is its 8-character shingles (of UTF-16 units). Shingles are
 exploded below a hash aggregate on the line's 64-bit hash, which merges
-repeated lines before its shuffle; neither a shingle nor a text moves. A
-MinHash function is the least rotation of a shingle's hash; the functions
-rotate by four bits each. The 16 minima are laid out as the points of the
-affine plane over four elements, and each of its 20 lines of four points is a
-band. Whichever minima agree, six or fewer that differ leave a band whole, so
-16 functions give lines of Jaccard similarity 0.8 a common bucket with
-probability 0.994 (10 to 400 shingles alike, by simulation), of 0.9 with 0.9999.
+repeated lines before its shuffle; neither a shingle nor a text moves. The last
+two bits of a shingle's hash put it into one of four parts, and four MinHash
+functions a part take the least rotation of the hash. The 16 minima are laid
+out as the points of the affine plane over four elements, and each of its 20
+lines of four points is a band. Whichever minima agree, six or fewer that
+differ leave a band whole, so 16 functions give lines of Jaccard similarity 0.8
+a common bucket with probability 0.995 (10 to 400 shingles, by simulation; a
+part without shingles in both lines agrees), of 0.9 with 0.9999.
 
 A bucket of two is its pair. In a larger one each member is compared with the
 bucket's hub, the member whose buckets are largest, and the links found are
-joined into components. Where a bucket still holds several components, the
-members of different components are compared by a join that has the exact
+joined into components. Where a bucket's other members still lie in several
+components, those of different components are compared by a join that has the exact
 Jaccard similarity as its condition: rows come out for links only, in blocks of
 ``BLOCK`` members, and a pair is compared in the first bucket it shares. So a
 pair of a bucket is either compared exactly or already connected; nothing is
@@ -82,9 +83,14 @@ def signatures(lines: DataFrame) -> DataFrame:
     cells = lines.select("h", _units(F.col("line")).alias("units")).filter(F.octet_length("units") >= 2 * SHINGLE)
     cells = cells.select("h", "units", F.explode(F.sequence(F.lit(0), (F.octet_length("units") / 2 - SHINGLE).cast("int"))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("v"))
-    mins = cells.groupBy("h").agg(*(F.min(_turned(F.col("v"), 64 // MINIMA * j)).alias(f"m{j}") for j in range(MINIMA)))
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(bands())]
-    return mins.select("h", F.array(*keys).alias("keys"))
+    part, turn = F.col("v").bitwiseAND(F.lit(SIDE - 1)), 64 // SIDE
+    least = [F.min(F.when(part == j // SIDE, _turned(F.col("v"), turn * (j % SIDE)))).alias(f"m{j}") for j in range(MINIMA)]
+    mins = cells.groupBy("h").agg(*least)
+    keys = [
+        F.when(F.coalesce(*(F.col(f"m{j}") for j in band)).isNotNull(), F.xxhash64(F.lit(b), *(F.coalesce(f"m{j}", F.lit(LAST)) for j in band)))
+        for b, band in enumerate(bands())
+    ]
+    return mins.select("h", F.array_compact(F.array(*keys)).alias("keys"))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -100,12 +106,13 @@ def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")), materialize(members, "lines-members")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the member that meets most lines in all its buckets."""
+def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, others): (a, b) of each member of a bucket with the member that meets most lines in all its buckets; the members but these."""
     mass = materialize(members.groupBy("h").agg(F.sum("n").alias("mass"), F.count("*").alias("times")), "lines-mass")
     weighed = spread_join(members, mass, "h", "times")
     hubs = materialize(weighed.groupBy("key").agg(F.max_by("h", "mass").alias("hub"), F.count("*").alias("size")), "lines-hubs")
-    return spread_join(members.select("key", "h"), hubs, "key", "size").filter("h <> hub").select(*_pair(F.col("h"), F.col("hub")))
+    others = spread_join(members, hubs, "key", "size").filter("h <> hub")
+    return others.select(*_pair(F.col("h"), F.col("hub"))), others.drop("hub")
 
 
 def _shingles(units: Column) -> Column:
@@ -130,7 +137,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, n, h, root, main, own of the buckets whose members lie in different components.
+    """key, n, h, root, main, own of the buckets whose members (but the hubs) lie in different components.
 
     ``main`` tells the bucket's largest component; ``own`` lists the line's split
     buckets that come before this one (larger first). A bucket all of whose
@@ -140,12 +147,13 @@ def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     known = materialize(known.select("key", "n", "h", F.coalesce("root", "h").alias("root")), "lines-known")
     parts = known.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
     split = parts.agg(F.max_by("root", "size").alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size")).filter("parts > 1")
-    rows = spread_join(known, materialize(split.select("key", "most", "size"), "lines-split"), "key", "size")
+    split = materialize(split.select("key", "most", "size", F.col("size").alias("left")), "lines-split")
+    rows = spread_join(known, split, "key", "size")
     place = F.struct((-F.col("n")).alias("n"), "key")
     before = rows.groupBy("h").agg(F.collect_list(place).alias("places"))
     earlier = F.transform(F.filter("places", lambda p: p < place), lambda p: p["key"])
-    rows = materialize(rows.join(before, "h").select("key", "n", "h", "root", (F.col("root") == F.col("most")).alias("main"), earlier.alias("own")), "lines-split")
-    within = rows.select("key", "n", F.explode("own").alias("k")).groupBy("key", "k").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c = n")
+    rows = materialize(rows.join(before, "h").select("key", "n", "left", "h", "root", (F.col("root") == F.col("most")).alias("main"), earlier.alias("own")), "lines-split")
+    within = rows.select("key", "left", F.explode("own").alias("k")).groupBy("key", "k").agg(F.count("*").alias("c"), F.max("left").alias("left")).filter("c = left")
     return rows.join(within.select("key").distinct(), "key", "left_anti")
 
 
@@ -154,7 +162,7 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
 
     The members outside of a bucket's largest component are compared with all others.
     """
-    rows = split.join(texts, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = split.join(texts, "h").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
     left = rows.filter("NOT main").withColumn("block", F.pmod("h", "blocks").cast("int"))
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # texts, not sets, are shuffled: the sets are made in the tasks that compare them
@@ -165,7 +173,8 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     )
     right = right.toDF("key", "block", "h2", "root2", "main2", "own2", "s2")
     apart = (F.col("root") != F.col("root2")) & (F.col("main2") | (F.col("h") < F.col("h2")))
-    new = apart & ~F.arrays_overlap("own", "own2") & _similar(F.col("s"), F.col("s2"), similarity)
+    small, large = F.least(F.size("s"), F.size("s2")), F.greatest(F.size("s"), F.size("s2"))
+    new = apart & (small >= similarity * large - F.lit(1e-9)) & ~F.arrays_overlap("own", "own2") & _similar(F.col("s"), F.col("s2"), similarity)
     both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & new)
     return both.select(*_pair(F.col("h"), F.col("h2")))
 
@@ -180,11 +189,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): similar lines, by hash; they connect all similar lines that share a bucket."""
     twos, members = buckets(signed)
-    pairs = materialize(twos.unionByName(hub_pairs(members)).distinct(), "lines-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    texts = _texts(docs, ends.unionByName(members.select("h")).distinct())
+    pairs, others = hub_pairs(members)
+    pairs = materialize(twos.unionByName(pairs).distinct(), "lines-pairs")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     near = materialize(verified(pairs, texts), "lines-near")
-    split = materialize(split_members(members, connected_components(near)), "lines-split")
+    split = materialize(split_members(others, connected_components(near)), "lines-split")
     return near if split.isEmpty() else near.unionByName(other_links(split, texts))
 
 

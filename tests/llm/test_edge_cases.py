@@ -6,6 +6,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillgraph.llm import chat, decontaminate, line_dedup, media, mixing, quality, sharding, simhash, token_files, warc
 from quillgraph.llm.components import connected_components
@@ -175,9 +176,13 @@ def test_line_dedup(odd, none, make_docs):
     long = "the quick brown fox jumps over the lazy dog near the old river bank at dawn " * 3
     docs = make_docs([(2, long + "\nown line of two\nshort"), (1, long.replace("lazy", "hazy") + "\nfirst own line"), (3, long + "\n\nshort"), (4, None)])
     got = {r.doc_id: list(r.dropped) for r in line_dedup.summary(docs).collect()}
-    assert got == {1: [], 2: [0], 3: [0], 4: []}
+    assert got == {1: [], 2: [0], 3: [0, 2], 4: []}  # a line without a shingle goes where it repeats, an empty one stays
     texts = {r.doc_id: r.text for r in line_dedup.dedupe_lines(docs).collect()}
-    assert texts[2] == "own line of two\nshort" and texts[3] == "\nshort" and texts[4] is None
+    assert texts[2] == "own line of two\nshort" and texts[3] == "" and texts[4] is None
+    clash = docs.select("*", *(F.lit(n).alias(n) for n in ("h", "d", "t", "gone", "row", "id", "text_hash", "root", "key")))
+    kept = line_dedup.dedupe_lines(clash)
+    assert kept.columns == clash.columns and {r.doc_id: r.text for r in kept.collect()} == texts
+    assert all(r[n] == n for r in kept.collect() for n in ("h", "d", "t", "gone", "row", "id", "text_hash", "root", "key"))
     assert len(line_dedup.summary(odd).collect()) == 11 and line_dedup.summary(none).count() == 0
 
 
