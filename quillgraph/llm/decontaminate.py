@@ -1,47 +1,58 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts and items are sequences of words (runs of letters, digits and ``_``,
-lower-cased). An item of W words is leaked where it occurs in a text with at
-most ``k = floor((1 - SIMILARITY) * W)`` word edits.
+Texts and items are sequences of lower-cased words: runs of letters, marks,
+digits and connectors of any script; a letter of a script that sets no spaces
+between words is a word. An item of W words is leaked where it occurs in a text
+with at most ``k = floor((1 - SIMILARITY) * W)`` word edits.
 
 A window is as long as its item. With k edits at least one of the item's k + 1
 equal parts is untouched, so windows are laid only where a run of
-``W // (k + 1)`` words equals one of the item's; that loses nothing. A window
-belongs to the text of its run; where it reaches beyond that text's ends (an
-item that lacks its first or last words) the words there are read as none. Windows
-and items are embedded by a CGK random walk: step j puts out the current word
-and moves on if a random bit of (j, word) says so, for 3 W steps, which keeps
-words that edits shifted aligned. A repetition samples ``SAMPLED`` positions of
-a walk as its key; ``WALKS * PER_WALK`` repetitions bring the chance that a
-window at the threshold shares a key with its item to ``RECALL`` (the tests
-measure it). Pairs with a common key are verified exactly with Myers'
-bit-parallel edit distance of the whole item against the window's surroundings.
+``W // (k + 1)`` words equals one of the item's; that loses nothing, and where k
+is 0 (items of under five words) such a run is the whole item and is reported
+as it is. A window belongs to the text of its run; where it reaches beyond that
+text's ends (an item that lacks its first or last words) the words there are
+read as none. Windows and items are embedded by a CGK random walk: step j puts
+out the current word and moves on if a random bit of (j, word) says so, which
+keeps words that edits shifted aligned. A repetition samples ``SAMPLED``
+positions of a walk as its key, from the steps of its first ``REACH`` words: the
+more edits lie before a position, the less likely walks still agree there. With
+``WALKS * PER_WALK`` repetitions a window at the threshold shares a key with its
+item with a chance above ``RECALL``, whether words are replaced, inserted,
+deleted or all of these, at 5 to 1,000 words (the tests measure it). Pairs with
+a common key are verified exactly with Myers' bit-parallel edit distance of the
+whole item against the window's surroundings.
 
 Items travel to the tasks in blocks of ``BLOCK``, one pass over the texts a
-block; texts are never shuffled.
-
-Defined cases: a null or empty text has no words and leaks nothing; items of
-less than ``MIN_WORDS`` words (no five-word shingle) or null are not searched;
-repeated rows are each reported; very long texts are searched whole; empty
-tables give no rows; more columns are ignored, or kept by ``drop_leaks``.
+block; texts are never shuffled. A block's matcher is built once, written to
+the shared folder and read by the workers, which hold one at a time, so memory
+does not grow with the benchmark.
+
+Defined cases: a null or empty text has no words and leaks nothing; an item
+that is null or has no words is not searched; an item of one to four words is
+leaked where it occurs exactly; repeated rows are each reported; very long texts
+are searched whole; empty tables give no rows; more columns are ignored, or kept
+by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import islice
+import pickle
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.storage import AtomicFile, new_dir, process_cache, resolve
+
 SIMILARITY = 0.8
-MIN_WORDS = 5
-WALKS = 8
+WALKS = 16
 PER_WALK = 6
-SAMPLED = 3
+SAMPLED = 2
+REACH = 100
 RECALL = 0.95
 BLOCK = 20000
 PIECE = 1 << 20
@@ -49,9 +60,18 @@ FOUND = "doc_id long, item_id long, edits int, similarity double, end_word long"
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
-_CUT = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]")
+#: Scripts that set no spaces between words: each of their letters is a word.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_CUT = regex.compile(rf"\W|[{UNSPACED}]")
+_LAST = 0x40000
+
+
+def _classes() -> np.ndarray:
+    """Per code point: 2 a word of its own, 1 a letter, mark, digit or connector, 0 anything else (as all beyond ``_LAST``)."""
+    out = np.zeros(_LAST + 1, np.uint8)
+    for code, kind in ((1, r"\w"), (2, rf"(?=\w)[{UNSPACED}]")):
+        out[[m.start() for m in regex.finditer(kind, "".join(map(chr, range(_LAST))))]] = code
+    return out
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -61,17 +81,20 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _words_of_piece(data: bytes) -> np.ndarray:
-    """A hash of each word: a polynomial over its bytes, from running sums of the piece."""
-    b = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], _WORD[b], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    if not len(edge):
+def _words_of_piece(text: str) -> np.ndarray:
+    """A hash of each word: a polynomial over its code points, from running sums of the piece."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = process_cache("word_classes", _classes)[np.minimum(points, _LAST)]
+    letter, alone = kind == 1, kind == 2
+    first, last = alone | letter, alone | letter
+    first[1:] &= alone[1:] | ~letter[:-1]
+    last[:-1] &= alone[:-1] | ~letter[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(start):
         return np.zeros(0, U)
-    powers, inverse = _power_tables(len(b))
-    sums = np.zeros(len(b) + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * powers[: len(b)], out=sums[1:])
-    start, end = edge[::2], edge[1::2]
+    powers, inverse = _power_tables(len(points))
+    sums = np.zeros(len(points) + 1, U)
+    np.cumsum((points.astype(U) + U(1)) * powers[: len(points)], out=sums[1:])
     return _mix((sums[end] - sums[start]) * inverse[start], 1) | U(1)
 
 
@@ -89,7 +112,7 @@ def _power_tables(n: int):
 
 def words_of(text: str | None) -> np.ndarray:
     """Hashes of all words of a whole text; long texts are read in pieces that end between words."""
-    data, at, parts = (text or "").lower().encode(), 0, []
+    data, at, parts = (text or "").lower(), 0, []
     while at < len(data):
         end = at + PIECE
         if end < len(data):
@@ -134,7 +157,7 @@ class Matcher:
     """A block of items, ready to be searched for in texts."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, walks=WALKS, per_walk=PER_WALK, sampled=SAMPLED):
-        found = [(i, w) for i, t in items if len(w := words_of(t)) >= MIN_WORDS]
+        found = [(i, w) for i, t in items if len(w := words_of(t))]
         self.ids = [i for i, _ in found]
         self.words = [w for _, w in found]
         self.size = np.array([len(w) for w in self.words], np.int64)
@@ -146,10 +169,13 @@ class Matcher:
             for i, x in enumerate(w.tolist()):
                 at[x] = at.get(x, 0) | 1 << i
             self.peq.append(at)
-        self.steps = int(3 * self.size.max()) if len(found) else 0
-        # sampled positions by item size; most of a walk's outputs come from its first 2 W steps
+        # sampled positions by item size; W words come out in some 2 W steps
         rng = np.random.default_rng(11)
-        self.sample = {int(s): rng.integers(0, 2 * s, (walks, per_walk, sampled)) for s in np.unique(self.size)}
+        self.sample = {int(s): rng.integers(0, 2 * min(s, REACH), (walks, per_walk, sampled)) for s in np.unique(self.size)}
+        self.steps = 2 * min(int(self.size.max()), REACH) if len(found) else 0
+        self.whole: dict[int, list[int]] = {}
+        for i in np.flatnonzero(self.most == 0).tolist():
+            self.whole.setdefault(int(self._runs(self.words[i], len(self.words[i]))[0]), []).append(i)
         self._seeds()
         self._keys()
 
@@ -158,6 +184,9 @@ class Matcher:
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for w, n, k in zip(self.words, self.size.tolist(), self.most.tolist(), strict=True):
             g = n // (k + 1)
+            if k == 0:  # the run is the item: any run of its length that equals it is an occurrence
+                rows.setdefault(g, []).append((int(self._runs(w, g)[0]), 0, 0))
+                continue
             rows.setdefault(g, []).extend(zip(self._runs(w, g).tolist(), range(n - g + 1), [n] * (n - g + 1), strict=True))
         self.seeds = {}
         for g, got in rows.items():
@@ -191,6 +220,7 @@ class Matcher:
         return out
 
     def _keys(self) -> None:
+        self.keys, self.key_item = np.zeros(0, U), np.zeros(0, np.int64)
         if not self.ids:
             return
         words = np.concatenate(self.words)
@@ -200,13 +230,13 @@ class Matcher:
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.key_item = keys.ravel()[order], item[order]
 
-    def windows(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, starts, sizes) of the windows that share an untouched run with an item.
+    def windows(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, set]:
+        """(rows, starts, sizes) of the windows that share an untouched run with an item, and the exact (row, start, item) of short items.
 
         ``ends`` are the places after each text's gap. A start may lie before
         its text, so it is counted as if the longest item's words were free there.
         """
-        found, free = [], int(self.size.max())
+        found, exact, free = [], set(), int(self.size.max())
         for g, (h, offset, size) in self.seeds.items():
             runs = self._runs(words, g)
             maybe = np.flatnonzero(self.maps[g][(runs >> U(44)).astype(np.int64)])
@@ -215,17 +245,24 @@ class Matcher:
             at = np.repeat(maybe, n)
             pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
             row = np.searchsorted(ends, at, "right")
+            short = size[pick] == 0
+            if short.any():
+                same = np.unique(np.stack([row[short], h[pick[short]].view(np.int64), at[short]]), axis=1)
+                first = np.ones(same.shape[1], bool)  # a text's first occurrence is as good as any
+                first[1:] = (same[:2, 1:] != same[:2, :-1]).any(axis=0)
+                for r, run, start in same[:, first].T.tolist():
+                    exact.update((r, start, i) for i in self.whole.get(run & (1 << 64) - 1, ()) if int(self.size[i]) == g)
+                at, row, pick = at[~short], row[~short], pick[~short]
             found.append(at - offset[pick] + (row + 1) * free << 20 | size[pick])
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         starts = both >> 20
         rows = np.searchsorted(ends + np.arange(1, len(ends) + 1) * free, starts, "right")
-        return rows, starts - (rows + 1) * free, both & (1 << 20) - 1
+        return rows, starts - (rows + 1) * free, both & (1 << 20) - 1, exact
 
     def candidates(self, words: np.ndarray, ends: np.ndarray):
         """(row, start, item) triples with a common key."""
-        rows, starts, sizes = self.windows(words, ends)
+        rows, starts, sizes, pairs = self.windows(words, ends)
         firsts, stops = np.concatenate([[0], ends[:-1]]), ends - 1
-        pairs: set[tuple[int, int, int]] = set()
         for at in range(0, len(starts), 4096):
             r, s, z = rows[at : at + 4096], starts[at : at + 4096], sizes[at : at + 4096]
             keys = self._keys_of(words, s, z, firsts[r], stops[r])
@@ -255,11 +292,27 @@ class Matcher:
         return [(r, self.ids[i], e, 1 - e / int(self.size[i]), end) for (r, i), (e, end) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block: int):
+def _matchers(benchmark: DataFrame, block: int, similarity: float):
+    """A path per block of items, to its pickled matcher in the shared folder; one matcher is in memory at a time."""
     rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
-    it = (tuple(r) for r in rows.toLocalIterator())
-    while got := list(islice(it, block)):
-        yield got
+    folder, it = new_dir(benchmark.sparkSession, "benchmark"), (tuple(r) for r in rows.toLocalIterator())
+    for n in count():
+        if not (got := list(islice(it, block))):
+            return
+        with AtomicFile(f"{folder}/{n:06d}.pickle") as out:
+            out.write(pickle.dumps(Matcher(got, similarity), protocol=5))
+        yield f"{folder}/{n:06d}.pickle"
+
+
+def _load(path: str) -> Matcher:
+    """The matcher at ``path``; a worker keeps the last one that it read."""
+    held = process_cache("matcher", dict)
+    if path not in held:
+        held.clear()
+        fs, name = resolve(path)
+        with fs.open_input_stream(name, compression=None) as raw:
+            held[path] = pickle.loads(raw.read())
+    return held[path]
 
 
 def _grouped(texts: list[str | None]):
@@ -277,10 +330,10 @@ def _grouped(texts: list[str | None]):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, similarity, end_word: each document's best occurrence of each item it leaks."""
     passes = []
-    for items in _blocks(benchmark, block):
-        matcher = Matcher(items, similarity)
+    for path in _matchers(benchmark, block, similarity):
 
-        def scan(batches, matcher=matcher):
+        def scan(batches, path=path):
+            matcher = _load(path)
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for a, b in _grouped(texts):
@@ -300,15 +353,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item."""
-    for items in _blocks(benchmark, block):
-        docs = docs.filter(_clean(Matcher(items, similarity))("text"))
+    for path in _matchers(benchmark, block, similarity):
+        docs = docs.filter(_clean(path)("text"))
     return docs
 
 
-def _clean(matcher: Matcher):
+def _clean(path: str):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        values, out = texts.tolist(), np.ones(len(texts), bool)
+        matcher, values, out = _load(path), texts.tolist(), np.ones(len(texts), bool)
         for a, b in _grouped(values):
             for row, *_ in matcher.search(values[a:b]):
                 out[a + row] = False

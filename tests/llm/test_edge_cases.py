@@ -50,7 +50,7 @@ def test_mixing_a_hot_source(make_docs):
 
 def test_decontamination(spark, odd, none, make_docs):
     words = [f"k{i}" for i in range(40)]
-    bench = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "not there"), (4, "")], "item_id long, text string")
     edited = words[:9] + ["new"] + words[10:20] + words[22:]
     docs = make_docs([(10, "before " + " ".join(edited).upper() + " after"), (11, " ".join(words[:20])), (12, " ".join(words) * 1)])
     found = {r.doc_id: r.edits for r in decontaminate.find_leaks(docs, bench).collect()}
@@ -61,19 +61,49 @@ def test_decontamination(spark, odd, none, make_docs):
     assert decontaminate.find_leaks(docs, bench, block=1).count() == 2
 
 
-def test_decontamination_recall_at_the_threshold():
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "deleted", "mixed"])
+@pytest.mark.parametrize("least, most", [(5, 19), (20, 59), (60, 200), (201, 600)])
+def test_decontamination_recall_at_the_threshold(least, most, kind):
     import random
 
-    rng, items, texts = random.Random(3), [], []
-    for i in range(150):
-        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(20, 59))]
+    rng, items, texts = random.Random(f"{least}{kind}"), [], []
+    for i in range(120):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(least, most))]
         items.append((i, " ".join(words)))
         edited = list(words)
-        for at in rng.sample(range(len(words)), int(0.2 * len(words))):
-            edited[at] = f"e{rng.randrange(10**9)}"
+        for _ in range(int(0.2 * len(words))):
+            how, at = kind if kind != "mixed" else rng.choice(["replaced", "inserted", "deleted"]), rng.randrange(len(edited))
+            edited[at : at + (how != "inserted")] = [] if how == "deleted" else [f"e{rng.randrange(10**9)}"]
         texts.append(" ".join(["x"] * 30 + edited + ["y"] * 30))
     got = decontaminate.Matcher(items).search(texts)
-    assert len({r for r, i, *_ in got if r == i}) >= decontaminate.RECALL * 150
+    assert len({r for r, i, *_ in got if r == i}) >= decontaminate.RECALL * 120
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abÉß_09 .,“”—’\n漢字かなไทยंक\u0301🙂-"), max_size=40))
+def test_words_of_any_script(text):
+    """Against a tokenizer of its own, by regular expression."""
+    import regex
+
+    alone = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+    want = [w for run in regex.findall(r"\w+", text.lower()) for w in regex.findall(rf"{alone}|(?:(?!{alone}).)+", run)]
+    got = decontaminate.words_of(text).tolist()
+    ids: dict[str, int] = {}
+    assert len(got) == len(want) and all(ids.setdefault(w, h) == h for w, h in zip(want, got, strict=True))
+    assert len(set(ids.values())) == len(ids)
+
+
+def test_decontamination_of_quotes_scripts_and_short_items(spark, make_docs):
+    items = [(1, "“Hello”—said the fox"), (2, "今天天气很好我们去公园散步"), (3, "yes"), (4, "two words"), (5, "…"), (6, "a b c d e")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([
+        (1, "then hello said the fox again"), (2, "他说今天天气很好我们去公园散步吧"), (3, "Oh, YES! and yes."), (4, "two long words"), (5, "x two words x"), (5, "x two words x"),
+        (6, "a b q d e"), (7, "a b q d r"), (8, "今天天气"),
+    ])
+    found = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert found == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 4, 0), (5, 4, 0), (6, 6, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench, block=2).collect()) == [4, 7, 8]
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(docs, bench, block=2).collect()) == found
 
 
 def test_warc(spark):
