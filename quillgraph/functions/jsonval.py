@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +34,21 @@ class Val:
         return F.struct(self.rank.cast("int").alias("rank"), self.num.cast("double").alias("num"), self.txt.alias("txt"))
 
 
-def literal(value) -> Val:
+def parts(value) -> tuple[int, float, str]:
+    """A Python JSON value's (rank, num, txt)."""
     if value is None:
-        return Val(F.lit(NULL), F.lit(0.0), F.lit(""))
+        return NULL, 0.0, ""
     if isinstance(value, bool):
-        return Val(F.lit(BOOL), F.lit(float(value)), F.lit(""))
+        return BOOL, float(value), ""
     if isinstance(value, (int, float)):
-        return Val(F.lit(NUMBER), F.lit(float(value)), F.lit(""))
+        return NUMBER, float(value), ""
     if isinstance(value, str):
-        return Val(F.lit(STRING), F.lit(0.0), F.lit(value))
-    return Val(F.lit(COMPOSITE), F.lit(0.0), F.lit(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
+        return STRING, 0.0, value
+    return COMPOSITE, 0.0, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def literal(value) -> Val:
+    return Val(*map(F.lit, parts(value)))
 
 
 def absent() -> Val:
@@ -53,11 +59,21 @@ def key_column(field: str) -> str:
     return f"key_{field}"
 
 
+def int_column(field: str) -> str:
+    """Beside a declared key: the value where it is a whole number of 64 bits, which a double may not hold."""
+    return f"int_{field}"
+
+
+def member(parsed: Column, field: str) -> Column:
+    """A parsed object's member as VARIANT: SQL NULL where absent, a variant null where null."""
+    if not field or any(c in field for c in "\"'[]\\"):  # a path cannot name these
+        return F.get(F.map_values(F.map_filter(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, _: k == field)), 0)
+    return F.variant_get(parsed, f'$["{field}"]', "variant")
+
+
 def variant_field(data: Column, field: str) -> Column:
-    """The field as VARIANT: SQL NULL where absent, a variant null where null."""
-    if not field or any(c in field for c in "\"'[]\\"):
-        return F.lit(None).cast("variant")
-    return F.variant_get(F.try_parse_json(data), f'$["{field}"]', "variant")
+    """A field of a JSON text as VARIANT; absent where the text is no JSON object."""
+    return member(F.try_parse_json(data), field)
 
 
 def json_type(v: Column) -> Column:
@@ -99,8 +115,8 @@ def _key(v: Column, kind: Column) -> Column:
 def field(name: str, columns: list[str] = (), data: str = "data") -> Val:
     """A top-level field of the JSON text in ``data``."""
     if key_column(name) in columns:
-        k = F.col(key_column(name))
-        return Val(k["rank"], k["num"], k["txt"])
+        k = F.col(f"`{key_column(name)}`")
+        return Val(k["rank"], k["num"], k["txt"], k)
     return of_variant(variant_field(F.col(data), name))
 
 
@@ -110,12 +126,41 @@ def okey(name: str, columns: list[str] = ()) -> Column:
 
 
 def is_int(v: Column) -> Column:
-    return json_type(v).eqNullSafe("BIGINT")
+    """Whether a VARIANT is a whole number of at most 64 bits, with or without sign; a longer one reads as a double."""
+    kind = json_type(v)
+    wide = F.try_variant_get(v, "$", "decimal(38,0)") <= F.lit(Decimal(2**64 - 1)).cast("decimal(38,0)")
+    return F.coalesce((kind == "BIGINT") | (kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & wide), F.lit(False))
+
+
+def double_text(x: Column) -> Column:
+    """A double's JSON text: its shortest digits, plain from 1e-5 up to 1e16."""
+    size, text = F.abs(x), x.cast("string")
+    trimmed = lambda scale: F.regexp_replace(x.cast(f"decimal(38,{scale})").cast("string"), r"(\.\d+?)0+$", "$1")
+    return (
+        F.when(size.between(1e-5, 1e-3), trimmed(30))
+        .when((size >= 1e7) & (size < 1e16), trimmed(10))
+        .otherwise(F.regexp_replace(text, r"(\.0)?E", "e"))
+    )
+
+
+def whole(v: Column) -> Column:
+    """A VARIANT's value as BIGINT where it is a whole number, else NULL."""
+    return F.when(is_int(v), F.try_variant_get(v, "$", "bigint"))
 
 
 def declare(nodes: DataFrame, *fields: str) -> DataFrame:
-    """Add a key column per field: parsed once, stored typed, usable for pruning and push-down."""
-    return nodes.withColumns({key_column(f): okey(f, nodes.columns) for f in fields if key_column(f) not in nodes.columns})
+    """Add a key column per field (and its whole number): parsed once a row, stored typed, usable for pruning and push-down."""
+    new = [f for f in fields if key_column(f) not in nodes.columns]
+    if not new:
+        return nodes
+
+    def parts_of(parsed: Column) -> Column:
+        found = [let(member(parsed, f), lambda v: F.struct(of_variant(v).key().alias("key"), whole(v).alias("int"))) for f in new]
+        return F.struct(*(c.alias(f"f{i}") for i, c in enumerate(found)))
+
+    rows = nodes.withColumn("_keys", let(F.try_parse_json(F.col("data")), parts_of))
+    columns = [F.col(f"_keys.f{i}.{part}").alias(name(f)) for i, f in enumerate(new) for part, name in (("key", key_column), ("int", int_column))]
+    return rows.select(*nodes.columns, *columns)
 
 
 def to_python(rank: int, num: float, txt: str):

@@ -9,11 +9,11 @@ order and keep the value of the smallest address among equals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import model
-from quillgraph.errors import Invalid, ScanLimit
+from quillgraph.errors import Invalid
 from quillgraph.functions import jsonval as J
 from quillgraph.model import ADMIN, Requester
 from quillgraph.operators.query import matching
@@ -32,13 +32,16 @@ def check(func: str, field: str | None) -> None:
         raise Invalid(f"{func} needs a field")
 
 
-def _inputs(rows: DataFrame, field: str | None) -> DataFrame:
-    if field is None:
-        return rows
-    raw = J.variant_field(F.col("data"), field)
-    rows = rows.withColumn("_v", J.okey(field, rows.columns))
-    exact = F.when(J.is_int(raw), F.try_variant_get(raw, "$", "bigint"))
-    return rows.withColumn("_int", exact)
+def _inputs(rows: DataFrame, *fields: str | None) -> DataFrame:
+    """``rows`` with the named fields' values as ``_g``, ``_v`` and ``_int``: a declared field as it is stored, others from one parse."""
+    group, field = fields
+    named = [f for f in (group, field) if f is not None]
+    rows = J.declare(rows, *dict.fromkeys(named))
+    out = [F.col("address")] if field is not None else []
+    out += [F.col(f"`{J.key_column(group)}`").alias("_g")] if group is not None else []
+    if field is not None:
+        out += [F.col(f"`{J.key_column(field)}`").alias("_v"), F.col(f"`{J.int_column(field)}`").alias("_int")]
+    return rows.select(*out)
 
 
 def _number() -> Column:
@@ -105,7 +108,7 @@ def aggregate(
 ) -> DataFrame:
     """One row: the result's rank, exact integer, double and text. Nothing matched: sum 0, count 0, else null."""
     check(func, field)
-    rows = _inputs(matching(nodes, who, kind, owner, where), field)
+    rows = _inputs(matching(nodes, who, kind, owner, where), None, field)
     if func == "max":
         rows = _least_address(rows, [])
     return rows.agg(*_folds(func)).select(*_result(func))
@@ -119,17 +122,16 @@ def _least_address(rows: DataFrame, keys: list) -> DataFrame:
 
 def aggregate_by(
     nodes: DataFrame, group_by: str, func: str = "count", field: str | None = None, values: list | None = None,
-    who: Requester = ADMIN, kind: str | None = None, owner: str | None = None, where: E.Expr | None = None, most: int | None = None,
+    who: Requester = ADMIN, kind: str | None = None, owner: str | None = None, where: E.Expr | None = None, most: int | None = model.MAX_ROWS_HELD,
 ) -> DataFrame:
     """A row per value of ``group_by``: its rank, num, txt, and the result; named values get a row even if empty.
 
-    ``most`` bounds the number of groups (an error beyond it); absent and null are two groups.
+    ``most`` bounds the number of groups: more are an error when the rows are read (None: no bound). Absent and null are two groups.
     """
     check(func, field)
     if not group_by:
         raise Invalid("group_by names a field")
-    rows = matching(nodes, who, kind, owner, where)
-    rows = _inputs(rows.withColumn("_g", J.okey(group_by, rows.columns)), field)
+    rows = _inputs(matching(nodes, who, kind, owner, where), group_by, field)
     named = None
     if values is not None:
         if len(values) > model.MAX_GROUP_VALUES:
@@ -144,8 +146,10 @@ def aggregate_by(
     groups = rows.groupBy("_g").agg(*_folds(func))
     if named is not None:
         groups = named.join(groups, "_g", "left")
-    if most is not None and groups.limit(most + 1).count() > most:
-        raise ScanLimit(f"more than {most} groups")
+    if most is not None and named is None:  # at most ``most`` + 1 rows, so one task may count them
+        held = groups.limit(most + 1).withColumn("_all", F.count("*").over(Window.partitionBy()))
+        refused = F.raise_error(F.lit(f"more than {most} groups")).cast("boolean")
+        groups = held.filter(F.when(F.col("_all") > most, refused).otherwise(True))
     shown = [F.col("_g.rank").alias("value_rank"), F.col("_g.num").alias("value_num"), F.col("_g.txt").alias("value_txt")]
     return groups.select(*shown, *_result(func)).orderBy("value_rank", "value_num", "value_txt")
 

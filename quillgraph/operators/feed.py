@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph import model
 from quillgraph.errors import Invalid, TooOld
 from quillgraph.model import ADMIN, PUBLIC, Requester
+from quillgraph.sources.session import keep
 
 
 def node_audience() -> Column:
@@ -64,9 +65,13 @@ def resume(events: DataFrame, after: int | None, who: Requester = ADMIN, ring: i
 
 
 def numbered(events: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
-    """Events with a gapless ``seq`` in the given order: a range partitioning, counts per partition, and offsets."""
-    spread = events.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-    spread = spread.withColumn("_part", F.spark_partition_id())
+    """Events with a gapless ``seq`` in the given order: a range partitioning, counts per partition, and offsets.
+
+    The partitioned rows are written once: both the counts and the numbers see
+    the same partitions, whatever a lost task computes anew.
+    """
+    spread = events.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    spread = keep(spread)
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

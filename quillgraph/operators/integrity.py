@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.errors import Conflict, Invalid, ScanLimit
 from quillgraph.functions import jsonval as J
+from quillgraph.operators.text import indexed_text
+from quillgraph.sources.session import keep
 
 MODES = ("ordered", "text", "folded")
 ACTIONS = ("cascade", "restrict", "set_null")
 MAX_NAME = 64
 MAX_VALUE_BYTES = 512
+MAX_TEXT_BYTES = 16384
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,9 @@ class Catalog:
     def listing(self) -> list[Index]:
         return [self.indexes[n] for n in sorted(self.indexes)]
 
+    def reference_listing(self) -> list[Reference]:
+        return [self.references[n] for n in sorted(self.references)]
+
     def create_index(self, index: Index, nodes: DataFrame) -> Catalog:
         """A new catalog with the index; the same declaration again is fine, existing data must admit it."""
         if not index.name or len(index.name.encode()) > MAX_NAME or index.mode not in MODES or (index.unique and index.mode != "ordered"):
@@ -61,10 +67,8 @@ class Catalog:
         if clash:
             raise Conflict(f"index {clash[0].name} is declared differently")
         rows = nodes.filter(F.col("kind") == index.kind)
-        if index.mode == "ordered":
-            v = J.field(index.field, rows.columns)
-            if not rows.filter(F.octet_length(v.txt) > MAX_VALUE_BYTES).isEmpty():
-                raise Conflict("a value is too long for an index")
+        if not rows.filter(too_long(rows, index)).isEmpty():
+            raise Conflict("a value is too long for an index")
         if index.unique and not unique_violations(nodes, index.kind, index.field).isEmpty():
             raise Conflict("existing rows are not unique")
         return replace(self, indexes={**self.indexes, index.name: index})
@@ -99,6 +103,11 @@ class Catalog:
     def check(self, nodes: DataFrame, touched: DataFrame | None = None) -> None:
         """Refuse a state that breaks a constraint; ``touched`` addresses bound the work to what a batch changed."""
         for i in self.indexes.values():
+            written = nodes.filter(F.col("kind") == i.kind)
+            if touched is not None:
+                written = written.join(touched.select("address"), "address", "left_semi")
+            if not written.filter(too_long(written, i)).isEmpty():
+                raise Conflict(f"a value is too long for index {i.name}")
             if i.unique:
                 rows = nodes.filter(F.col("kind") == i.kind).withColumn("_k", J.okey(i.field, nodes.columns))
                 if touched is not None:
@@ -117,6 +126,23 @@ def _served(ref: Reference, indexes: dict[str, Index]) -> bool:
     return child and parent
 
 
+def too_long(rows: DataFrame, index: Index) -> Column:
+    """Whether a row's value exceeds what its index may store; a folded index stores the lowered text."""
+    if index.mode == "ordered":
+        return F.octet_length(J.field(index.field, rows.columns).txt) > MAX_VALUE_BYTES
+    return F.coalesce(F.octet_length(indexed_text(rows, index.field, index.mode == "folded")) > MAX_TEXT_BYTES, F.lit(False))
+
+
+def entries(nodes: DataFrame, index: Index) -> DataFrame:
+    """The distinct values that an index holds."""
+    return nodes.filter(F.col("kind") == index.kind).select(J.okey(index.field, nodes.columns).alias("k")).distinct()
+
+
+def bound_rows(nodes: DataFrame, ref: Reference) -> DataFrame:
+    """Addresses of the rows that name a parent."""
+    return _children(nodes, ref).select("address")
+
+
 def unique_violations(nodes: DataFrame, kind: str, field: str) -> DataFrame:
     """Values that more than one row of a kind has (absent and null are values): rank, num, txt, rows."""
     rows = nodes.filter(F.col("kind") == kind).select(J.okey(field, nodes.columns).alias("k"))
@@ -149,44 +175,72 @@ def children_of(nodes: DataFrame, ref: Reference, gone: DataFrame) -> DataFrame:
     return _children(nodes, ref).join(parents.select("_p").distinct(), "_p", "left_semi").select("address")
 
 
+def children_with_parent(nodes: DataFrame, ref: Reference, parents: DataFrame) -> DataFrame:
+    """The rows that name a parent of a request-sized list (_parent, and its value as _rank, _num, _txt), with ``_parent``."""
+    keys = parents.select("_parent", J.Val(F.col("_rank"), F.col("_num"), F.col("_txt")).key().alias("_p"))
+    return _children(nodes, ref).join(F.broadcast(keys), "_p").drop("_p")
+
+
 @dataclass
 class Closure:
     deleted: DataFrame
     nulled: dict[str, DataFrame]
 
 
+def _with_names(rows: DataFrame, references: list[Reference]) -> DataFrame:
+    """address, kind and, per reference, the value by which children name the row (NULL where it is no parent)."""
+    names = []
+    for i, ref in enumerate(references):
+        own = J.Val(F.lit(J.STRING), F.lit(0.0), F.col("address")).key() if ref.parent_field is None else J.okey(ref.parent_field, rows.columns)
+        names.append(F.when(F.col("kind") == ref.parent_kind, own).alias(f"n{i}"))
+    return rows.select("address", "kind", *names)
+
+
+def _naming(nodes: DataFrame, ref: Reference, gone: DataFrame, place: int) -> DataFrame:
+    """The rows whose reference names a row of ``gone``; only the child's kind is read."""
+    keys = gone.filter(F.col(f"n{place}").isNotNull()).select(F.col(f"n{place}").alias("_p")).distinct()
+    return _children(nodes, ref).join(keys, "_p", "left_semi")
+
+
 def delete_closure(nodes: DataFrame, references: list[Reference], targets: DataFrame, checkpoint=None, most: int | None = None) -> Closure:
     """All that goes when ``targets`` (addresses) go, and per reference the rows whose field becomes null.
 
-    Breadth first; each round joins only what the last one added, so cycles
-    end. ``checkpoint`` (a function of a DataFrame) cuts the lineage of a
-    round. A restricted child that does not go itself refuses the whole.
+    Breadth first; each round joins only what the last one added, reads only
+    kinds that can name it, and is written to a table of its own, so cycles end
+    and nothing is computed or rewritten twice. ``checkpoint`` (a function of a
+    DataFrame) does the writing. A restricted child that does not go itself
+    refuses the whole.
     """
-    cut = checkpoint or (lambda df: df.checkpoint())
-    gone = cut(nodes.join(targets.select("address").distinct(), "address", "left_semi").select("address"))
-    fresh = gone
-    while not fresh.isEmpty():
-        found = None
-        for r in references:
-            if r.on_delete == "cascade":
-                more = children_of(nodes, r, fresh)
-                found = more if found is None else found.union(more)
-        if found is None:
+    cut = checkpoint or keep
+    start = nodes.join(targets.select("address").distinct(), "address", "left_semi")
+    rounds = [cut(_with_names(start, references))]
+    while True:
+        kinds = {r.kind: r["count"] for r in rounds[-1].groupBy("kind").count().collect()}  # one row a kind
+        if most is not None and (most := most - sum(kinds.values())) < 0:
+            raise ScanLimit("a delete would reach more rows than it may")
+        found = [_with_names(_naming(nodes, r, rounds[-1], i), references) for i, r in enumerate(references) if r.on_delete == "cascade" and r.parent_kind in kinds]
+        if not found:
             break
-        fresh = cut(found.distinct().join(gone, "address", "left_anti"))
-        gone = cut(gone.union(fresh))
-        if most is not None and gone.count() > most:
-            raise ScanLimit(f"a delete would reach more than {most} rows")
+        fresh = found[0]
+        for more in found[1:]:
+            fresh = fresh.unionByName(more)
+        fresh = fresh.dropDuplicates(["address"]) if len(found) > 1 else fresh
+        for done in rounds:
+            fresh = fresh.join(done.select("address"), "address", "left_anti")
+        rounds.append(cut(fresh))
+    gone = rounds[0]
+    for more in rounds[1:]:
+        gone = gone.unionByName(more)
     nulled = {}
-    for r in references:
+    for i, r in enumerate(references):
         if r.on_delete == "cascade":
             continue
-        left = children_of(nodes, r, gone).join(gone, "address", "left_anti")
+        left = _naming(nodes, r, gone, i).select("address").join(gone.select("address"), "address", "left_anti")
         if r.on_delete == "restrict" and not left.isEmpty():
             raise Conflict(f"reference {r.name} restricts the delete")
         if r.on_delete == "set_null":
             nulled[r.name] = left
-    return Closure(gone, nulled)
+    return Closure(gone.select("address"), nulled)
 
 
 def restrict_blockers(nodes: DataFrame, ref: Reference, targets: DataFrame) -> DataFrame:

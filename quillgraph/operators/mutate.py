@@ -9,8 +9,8 @@ holds entirely or not at all; publishing a snapshot is swapping a directory
 from __future__ import annotations
 
 import json
-import math
-from dataclasses import dataclass, field, replace
+from dataclasses import replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,18 +20,13 @@ from quillgraph.errors import Conflict, Invalid, Precondition
 from quillgraph.functions import jsonval as J
 from quillgraph.model import ADMIN, NODE_COLUMNS, Requester
 from quillgraph.operators import graph
-from quillgraph.operators.integrity import Catalog, delete_closure
+from quillgraph.operators.integrity import delete_closure
 from quillgraph.operators.query import matching
+from quillgraph.operators.snapshot import Snapshot
+from quillgraph.operators.transaction import expectation, transaction
 from quillgraph.plans import expr as E
 
-
-@dataclass
-class Snapshot:
-    nodes: DataFrame
-    edges: DataFrame
-    history: DataFrame
-    catalog: Catalog = field(default_factory=Catalog)
-    now: int = 0
+__all__ = ["Snapshot", "transaction"]
 
 
 def _archive(s: Snapshot, touched: DataFrame) -> DataFrame:
@@ -45,8 +40,17 @@ def _archive(s: Snapshot, touched: DataFrame) -> DataFrame:
     return s.history.unionByName(new)
 
 
-def upsert(s: Snapshot, batch: DataFrame, check: bool = True) -> Snapshot:
-    """Insert or replace whole nodes by address; what was there is archived."""
+def upsert(s: Snapshot, batch: DataFrame, check: bool = True, order: str | None = None, distinct: bool = True) -> Snapshot:
+    """Insert or replace whole nodes by address; what was there is archived.
+
+    ``order`` names a column of ``batch`` by whose greatest value an address
+    that occurs more than once is settled; without it such a batch is refused.
+    """
+    if order is not None:
+        last = F.max_by(F.struct(*NODE_COLUMNS), F.col(order)).alias("node")
+        batch = batch.groupBy("address").agg(last).select("node.*")
+    elif distinct and not batch.groupBy("address").count().filter("count > 1").isEmpty():
+        raise Invalid("a batch names an address twice")
     rows = batch.select(NODE_COLUMNS)
     nodes = s.nodes.join(rows.select("address"), "address", "left_anti").select(NODE_COLUMNS).unionByName(rows)
     out = replace(s, nodes=nodes, history=_archive(s, rows))
@@ -110,7 +114,7 @@ def claim(s: Snapshot, address: str, who: Requester) -> Snapshot:
 def claim_all(s: Snapshot, rows: DataFrame, claimant: Column) -> Snapshot:
     """Claim every unclaimed node among ``rows`` (addresses) for the owner that ``claimant`` gives."""
     free = s.nodes.filter(F.col("claimed_by").isNull()).join(rows.select("address"), "address", "left_semi")
-    return upsert(s, free.withColumn("claimed_by", claimant), check=False)
+    return upsert(s, free.withColumn("claimed_by", claimant), check=False, distinct=False)
 
 
 def set_field(data: Column, name: str, value) -> Column:
@@ -123,17 +127,18 @@ def set_field(data: Column, name: str, value) -> Column:
 
 def _compare(expect: dict) -> Column:
     """The test of one compare-and-set request: expect_le, expect_eq (exact JSON) or expect_absent."""
-    tests = [k for k in ("expect_le", "expect_eq", "expect_absent") if k in expect]
-    if len(tests) != 1 or not expect.get("field"):
-        raise Invalid("set_if takes one of expect_le, expect_eq, expect_absent, and a field")
+    test = expectation(expect)
     raw, v = J.variant_field(F.col("data"), expect["field"]), J.field(expect["field"])
-    if tests == ["expect_absent"]:
+    if test == "expect_absent":
         return v.rank.isin(J.NULL, J.ABSENT)
-    if tests == ["expect_le"]:
+    if test == "expect_le":
         return (v.rank == J.NUMBER) & (v.num <= float(expect["expect_le"]))
     want = expect["expect_eq"]
-    whole = isinstance(want, int) and not isinstance(want, bool)
-    typed = J.is_int(raw) == whole if isinstance(want, (int, float)) and not isinstance(want, bool) else F.lit(True)
+    if isinstance(want, int) and not isinstance(want, bool):
+        # compared as whole numbers: a double holds no more than 53 bits
+        whole = F.try_variant_get(raw, "$", "decimal(38,0)") if -(10**38) < want < 10**38 else F.lit(None)
+        return J.is_int(raw) & F.coalesce(whole == F.lit(Decimal(want)).cast("decimal(38,0)"), F.lit(False))
+    typed = ~J.is_int(raw) if isinstance(want, float) else F.lit(True)
     return typed & E.equal(v, J.literal(want))
 
 
@@ -179,86 +184,3 @@ def blocks(requests: DataFrame, name: str = "name", order: str = "request_id", c
     before = Window.partitionBy(name).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(count).over(before), F.lit(0)) + 1
     return requests.withColumn("first", first).withColumn("end", first + F.col(count))
-
-
-def transaction(s: Snapshot, ops: list[dict], who: Requester = ADMIN) -> Snapshot:
-    """Resolve operations in order against what earlier ones staged; all hold or none does.
-
-    insert_node, update_node, delete_node, insert_edge, delete_edge, clear_kind
-    (with an optional where) and set_if. Addresses that the batch names are
-    read at once and folded on the driver; the batch bound keeps that small.
-    """
-    if len(ops) > model.MAX_MUTATIONS:
-        raise Invalid(f"at most {model.MAX_MUTATIONS} mutations in a batch")
-    spark = s.nodes.sparkSession
-    named = sorted({o["address"] for o in ops if "address" in o} | {o["node"]["address"] for o in ops if "node" in o})
-    wanted = spark.createDataFrame([(a,) for a in named], "address string")
-    staged = {r.address: r.asDict(recursive=True) for r in s.nodes.join(F.broadcast(wanted), "address", "left_semi").select(NODE_COLUMNS).collect()}
-    start, put_edges, cut_edges, cleared = dict(staged), {}, set(), []
-    for o in ops:
-        kind = o["op"]
-        if kind in ("insert_node", "update_node", "delete_node", "set_if"):
-            address = o["node"]["address"] if kind == "insert_node" else o["address"]
-            old = staged.get(address)
-            if old is not None and old["owner"] != who.owner and (kind == "insert_node" or not who.admin):
-                raise Conflict(f"{address} belongs to another owner")
-            if kind == "insert_node":
-                blank = {"coordinate": {c: 0 for c in "xyzq"}, "value": 0, "data": "{}", "owner": who.owner, "claimed_by": None, "visibility": model.PRIVATE}
-                staged[address] = {**blank, **o["node"]}
-            elif kind == "delete_node":
-                staged[address] = None
-            elif old is None:
-                raise Precondition(f"no node {address}")
-            elif kind == "update_node":
-                staged[address] = {**old, "data": o["data"]}
-            else:
-                staged[address] = {**old, "data": _set_if_local(old["data"], o["expect"], o["set"])}
-        elif kind == "insert_edge":
-            key = (o["from"], o["to"], o["kind"])
-            put_edges[key] = o.get("owner", who.owner)
-            cut_edges.discard(key)
-        elif kind == "delete_edge":
-            key = (o["from"], o["to"], o["kind"])
-            if put_edges.pop(key, None) is None:
-                cut_edges.add(key)
-        elif kind == "clear_kind":
-            cleared.append((o["kind"], E.Expr.of(o["where"]) if o.get("where") else None))
-        else:
-            raise Invalid(f"unknown operation {kind!r}")
-    out = s
-    puts = [v for a, v in staged.items() if v is not None and v != start.get(a)]
-    gone = [(a,) for a, v in staged.items() if v is None]
-    if puts:
-        out = upsert(out, spark.createDataFrame([tuple(v[c] for c in NODE_COLUMNS) for v in puts], model.NODE), check=False)
-    for kind, where in cleared:
-        out, _ = delete_where(out, kind, where, who)
-    if gone:
-        out = delete(out, spark.createDataFrame(gone, "address string"))
-    out.catalog.check(out.nodes, spark.createDataFrame([(v["address"],) for v in puts], "address string"))
-    if cut_edges:
-        out = replace(out, edges=graph.drop_edges(out.edges, spark.createDataFrame(sorted(cut_edges), "`from` string, `to` string, kind string")))
-    if put_edges:
-        rows = spark.createDataFrame([(*k, o) for k, o in sorted(put_edges.items())], model.EDGE)
-        out = replace(out, edges=graph.put_edges(out.edges, rows, out.nodes, who, take_over=True))
-    return out
-
-
-def _set_if_local(data: str, expect: dict, changes: dict) -> str:
-    try:
-        body = json.loads(data)
-    except ValueError:
-        body = None
-    body = body if isinstance(body, dict) else {}
-    tests = [k for k in ("expect_le", "expect_eq", "expect_absent") if k in expect]
-    if len(tests) != 1:
-        raise Invalid("set_if takes one of expect_le, expect_eq, expect_absent")
-    have, want = body.get(expect["field"]), expect[tests[0]]
-    number = isinstance(have, (int, float)) and not isinstance(have, bool) and math.isfinite(have)
-    holds = {
-        "expect_absent": have is None,
-        "expect_le": number and have <= want if tests == ["expect_le"] else False,
-        "expect_eq": type(have) is type(want) and have == want,
-    }[tests[0]]
-    if not holds:
-        raise Precondition("the test failed")
-    return json.dumps({**body, **changes})

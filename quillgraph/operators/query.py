@@ -61,14 +61,39 @@ def matching(nodes: DataFrame, who: Requester = ADMIN, kind: str | None = None,
     if where is None:
         return out
     E.validate(where)
-    for name, test, value, lowered in E.leading_tests(where, item):
-        key = F.col(J.key_column(name)) if J.key_column(name) in nodes.columns else None
-        if key is not None and not lowered and isinstance(value, str) and test in ("==", "starts_with"):
-            out = out.filter((key["txt"] == value) if test == "==" else key["txt"].startswith(value))
+    for test in pushed_tests(nodes.columns, where, item):
+        out = out.filter(test)
     condition = E.Compiler(nodes.columns, item).condition(where)
     return out.filter(F.when(base, condition).otherwise(False))
 
 
+def pushed_tests(columns: list[str], where: E.Expr, item: str = "item") -> list[Column]:
+    """Plain filters on declared keys that the predicate implies wherever it can be evaluated; they reach the scan."""
+    out: list[Column] = []
+    failing: Column | None = None  # where an earlier comparison fails, the row must stay to fail the query
+    for name, test, value, lowered in E.leading_tests(where, item):
+        if lowered:
+            continue
+        if J.key_column(name) not in columns:
+            if test in E.RANGE_TESTS:
+                break
+            continue
+        key = F.col(f"`{J.key_column(name)}`")
+        if test in E.RANGE_TESTS:
+            odd = key["rank"] != J.NUMBER
+            failing = odd if failing is None else failing | odd
+            passes = {"<": key["num"] < value, "<=": key["num"] <= value, ">": key["num"] > value, ">=": key["num"] >= value}[test]
+        elif test == "==":
+            rank, num, txt = J.parts(value)
+            # null equals absent, so it is no place in the order
+            passes = key["rank"].isin(J.NULL, J.ABSENT) if rank == J.NULL else (key["rank"] == rank) & (key["num"] == num) & (key["txt"] == txt)
+        else:
+            passes = {"starts_with": key["txt"].startswith, "ends_with": key["txt"].endswith, "contains": key["txt"].contains}[test](value)
+            passes = (key["rank"] == J.STRING) & passes
+        out.append(passes if failing is None else failing | passes)
+    return out
+
+
 def encode_cursor(rank: int, num: float, txt: str, address: str) -> str:
     """base64url of compact JSON: the order value, its rank (null and absent differ), and the address."""
     body = {"o": J.to_python(rank, num, txt), "r": rank, "a": address}
@@ -89,6 +114,10 @@ def decode_cursor(cursor: str) -> tuple[J.Val, str]:
     return value, address
 
 
+def int_of(rank: Column) -> Column:
+    return rank.cast("int")
+
+
 def _order_key(nodes: DataFrame, q: Query) -> Column | None:
     return None if q.order in (None, "id") else J.okey(q.order, nodes.columns)
 
@@ -109,6 +138,11 @@ def ordered(nodes: DataFrame, q: Query, who: Requester = ADMIN) -> DataFrame:
         else:
             here, there = F.struct("okey", "address"), F.struct(value.key().alias("okey"), F.lit(address).alias("address"))
             rows = rows.filter(here < there if q.desc else here > there)
+            if J.key_column(q.order) in nodes.columns:  # implied by the struct's order, and within the scan's reach
+                stored = F.col(f"`{J.key_column(q.order)}`")
+                rank, num = stored["rank"], stored["num"]
+                at, n = int_of(value.rank), value.num
+                rows = rows.filter((rank < at) | (rank == at) & (num <= n) if q.desc else (rank > at) | (rank == at) & (num >= n))
     columns = ["address"] if key is None else ["okey", "address"]
     return rows.orderBy(*(F.col(c).desc() if q.desc else F.col(c).asc() for c in columns))
 
@@ -126,20 +160,41 @@ def run(nodes: DataFrame, q: Query, who: Requester = ADMIN) -> Page:
     """One page and the next cursor, which is empty when no further row matches."""
     limit = min(q.limit, model.MAX_LIMIT)
     got = page_frame(nodes, q, who, extra=1).collect() if limit else []
-    more = len(got) > limit
-    rows = got[:limit]
-    return Page(rows, encode_cursor(*rows[-1].okey, rows[-1].address) if more else "")
+    return next(_cut(got, limit, False), Page())
+
+
+def _cut(got: list, limit: int, more: bool):
+    """Pages of ``limit`` rows from consecutive ones; ``more``: rows follow the last of them."""
+    for at in range(0, len(got), max(1, limit)):
+        rows = got[at : at + limit]
+        yield Page(rows, encode_cursor(*rows[-1].okey, rows[-1].address) if more or at + limit < len(got) else "")
 
 
-def pages(nodes: DataFrame, q: Query, who: Requester = ADMIN, most: int | None = None):
-    """Page after page, at most ``most`` of them."""
-    while most is None or most > 0:
-        page = run(nodes, q, who)
-        yield page
+def pages(nodes: DataFrame, q: Query, who: Requester = ADMIN, most: int | None = None, ahead: int = 1):
+    """Page after page, at most ``most`` of them.
+
+    ``ahead`` pages, of at most ``MAX_ROWS_HELD`` rows together, are read by one
+    top-k; the next one begins at the last page's cursor.
+    """
+    limit = min(q.limit, model.MAX_LIMIT)
+    if not limit:
+        yield Page()
+        return
+    chunk = limit * max(1, min(ahead, model.MAX_ROWS_HELD // limit))
+    while True:
+        rows = ordered(nodes, q, who)
+        got = (rows.offset(q.offset) if q.offset and not q.cursor else rows).limit(chunk + 1).collect()
+        page = Page()
+        for page in _cut(got[:chunk], limit, len(got) > chunk):
+            if most is not None and most <= 0:
+                return
+            most = None if most is None else most - 1
+            yield page
+        if not got:
+            yield page
         if not page.next:
             return
         q = Query(**{**q.__dict__, "cursor": page.next})
-        most = None if most is None else most - 1
 
 
 def point_get(nodes: DataFrame, address: str, who: Requester = ADMIN) -> DataFrame:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.model import ADMIN, Requester, visible
+
+# Callers see the bounds of these buckets.
 SUB_BITS = 3
 BUCKETS = 512
 
 
-def kind_tally(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("kind").agg(F.count("*").alias("nodes")).orderBy("kind")
+def kind_tally(nodes: DataFrame, who: Requester = ADMIN) -> DataFrame:
+    """Nodes per kind that the caller may read."""
+    return visible(nodes, who).groupBy("kind").agg(F.count("*").alias("nodes")).orderBy("kind")
+
+
+def owners(nodes: DataFrame, who: Requester = ADMIN) -> DataFrame:
+    """The owners of readable nodes, with how many and of how many kinds."""
+    return visible(nodes, who).groupBy("owner").agg(F.count("*").alias("nodes"), F.count_distinct("kind").alias("kinds")).orderBy("owner")
 
 
 def counters(nodes: DataFrame, edges: DataFrame, history: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from quillgraph.operators.query import matching
 from quillgraph.plans import expr as E
 
 MAX_GRAMS = 16
-MAX_TEXT_BYTES = 16384
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,25 +26,27 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def with_grams(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with one row per trigram of ``text``; texts under three characters have none.
+def grams(text: Column) -> Column:
+    """The distinct trigrams of a text; none under three characters.
 
-    The text becomes four bytes a character in a column of its own below the
-    generator, so that each cut is at a known place and nothing is done twice.
+    Four bytes a character make each cut a known place; the outer transform
+    binds the bytes, which an inner one would else copy for each gram.
     """
-    rows = rows.withColumn("_units", F.encode(text, "UTF-32"))
-    last = (F.octet_length("_units") / 4 - 3).cast("int")
-    rows = rows.filter(last >= 0).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
-    gram = F.decode(F.substring("_units", F.col("_i") * 4 + 1, F.lit(12)), "UTF-32")
-    return rows.withColumn("gram", gram).drop("_units", "_i")
+    spots = lambda u: F.when(F.octet_length(u) >= 12, F.sequence(F.lit(1), F.octet_length(u) - 11, F.lit(4)))
+    cuts = lambda u: F.transform(spots(u), lambda i: F.decode(F.substring(u, i, F.lit(12)), "UTF-32"))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(text, "UTF-32")), cuts)))
+
+
+def indexed_text(nodes: DataFrame, field: str, folded: bool = False) -> Column:
+    """What an index stores of a field, NULL where it is no text."""
+    v = J.field(field, nodes.columns)
+    return F.when(v.rank == J.STRING, simple_lower(v.txt) if folded else fold_ascii(v.txt))
 
 
 def postings(nodes: DataFrame, kind: str, field: str, folded: bool = False) -> DataFrame:
-    """(gram, address) of a kind's string field."""
+    """(gram, address) of a kind's string field; addresses are unique, so each row's grams are made distinct in place."""
     rows = nodes.filter(F.col("kind") == kind)
-    v = J.field(field, rows.columns)
-    text = simple_lower(v.txt) if folded else fold_ascii(v.txt)
-    return with_grams(rows.filter(v.rank == J.STRING).select("address", text.alias("_text")), F.col("_text")).select("gram", "address").distinct()
+    return rows.select(F.explode(grams(indexed_text(rows, field, folded))).alias("gram"), "address")
 
 
 def needle_grams(needles: list[str], folded: bool) -> list[str]:

@@ -160,7 +160,8 @@ class Compiler:
 
     def condition(self, expr: Expr) -> Column:
         """True exactly where the predicate's value is the JSON value true."""
-        names = sorted({e.field for e in walk(expr) if e.kind == "get" and e.field is not None})
+        names = {e.field for e in walk(expr) if e.kind == "get" and e.field is not None}
+        names = sorted(n for n in names if J.key_column(n) not in self.columns)  # a declared key is a plain column
         if not names:
             return self._true(expr)
         keys = F.struct(*(J.field(n, self.columns).key().alias(f"f{i}") for i, n in enumerate(names)))
@@ -208,8 +209,12 @@ class Compiler:
     def _text(self, e: Expr) -> Column:
         """What lower() reads: strings as they are, null as empty, anything else as its JSON text."""
         v = self.value(e)
-        whole = (v.num == F.floor(v.num)) & (F.abs(v.num) < 1e15)
-        number = F.when(whole, v.num.cast("bigint").cast("string")).otherwise(v.num.cast("string"))
+        number = J.double_text(v.num)
+        if e.kind == "get":
+            raw = J.variant_field(F.col("data"), self._field(e))
+            number = J.let(raw, lambda r: F.when(J.is_int(r), F.to_json(r)).otherwise(number))
+        elif e.kind == "lit" and isinstance(literal_value(e), int):
+            number = F.lit(str(literal_value(e)))
         return (
             F.when(v.rank.isin(J.STRING, J.COMPOSITE), v.txt)
             .when(v.rank == J.NUMBER, number)
@@ -295,25 +300,29 @@ class Compiler:
 
 
 def leading_tests(expr: Expr | None, item: str = "item") -> list[tuple[str, str, object, bool]]:
-    """(field, operator, literal, lowered) of the conjuncts that come first and can neither raise nor be skipped.
+    """(field, operator, literal, lowered) of the conjuncts that come first and cannot be skipped.
 
-    A plain filter on them changes no result and hides no error, for the rows
-    that it removes would have ended the evaluation there.
+    A filter on them that keeps the rows on which an earlier one, or the test
+    itself, fails changes no result and hides no error: the rows that it
+    removes would have ended the evaluation there. Only the comparisons can
+    fail, on values that are not numbers.
     """
     out: list[tuple[str, str, object, bool]] = []
 
     def walk(e: Expr) -> bool:
         if e.kind == "bin" and e.op == "&&" and e.l and e.r:
             return walk(e.l) and walk(e.r)
-        if e.kind != "bin" or e.op not in ("==", "starts_with", "ends_with", "contains") or e.l is None or e.r is None:
+        if e.kind != "bin" or e.op not in ("==", *TEXT_TESTS, *RANGE_TESTS) or e.l is None or e.r is None:
             return False
         side, lowered = e.l, False
-        if side.kind == "call" and side.name == "lower" and len(side.args) == 1 and e.op != "==":
+        if side.kind == "call" and side.name == "lower" and len(side.args) == 1 and e.op in TEXT_TESTS:
             side, lowered = side.args[0], True
         if side.kind != "get" or e.r.kind != "lit" or side.obj is None or side.obj.kind != "ref" or side.obj.name != item or not side.field:
             return False
         value = literal_value(e.r)
-        if e.op != "==" and not isinstance(value, str):
+        if e.op in TEXT_TESTS and not isinstance(value, str):
+            return False
+        if e.op in RANGE_TESTS and (isinstance(value, bool) or not isinstance(value, (int, float))):
             return False
         out.append((side.field, e.op, value, lowered))
         return True
@@ -321,3 +330,8 @@ def leading_tests(expr: Expr | None, item: str = "item") -> list[tuple[str, str,
     if expr is not None:
         walk(expr)
     return out
+
+
+#: The operators' names.
+TEXT_TESTS = ("starts_with", "ends_with", "contains")
+RANGE_TESTS = ("<", "<=", ">", ">=")

@@ -1,16 +1,20 @@
 """Parquet snapshots: nodes partitioned by kind, published by swapping a pointer.
 
 A snapshot is a directory of its own; ``CURRENT`` names the published one and
-is replaced by a rename, so readers see the old state or the new one.
+is replaced by a rename, so readers see the old state or the new one. Nodes are
+in order of address (or of a key), edges in order of an end, so that the files'
+own minima and maxima prune them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.errors import Conflict, Invalid
 from quillgraph.functions import jsonval as J
-from quillgraph.operators.mutate import Snapshot
+from quillgraph.model import EDGE, HISTORY, NODE
+from quillgraph.operators.snapshot import Snapshot
 
 TABLES = ("nodes", "edges", "history")
 
@@ -20,6 +24,17 @@ def _fs(spark: SparkSession, uri: str):
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
+def write_nodes(nodes: DataFrame, path: str, declared: tuple[str, ...] = (), order: str = "address") -> None:
+    """Nodes by kind and, within a kind, in order, with a typed key column for each declared field."""
+    rows = J.declare(nodes, *declared).repartitionByRange("kind", order).sortWithinPartitions("kind", order, "address")
+    rows.write.partitionBy("kind").parquet(path)
+
+
+def write_edges(edges: DataFrame, path: str, end: str = "from") -> None:
+    """Edges in order of one end, for adjacency from there."""
+    edges.repartitionByRange(end).sortWithinPartitions(end, F.octet_length("kind"), "kind").write.parquet(path)
+
+
 def write_snapshot(s: Snapshot, root: str, version: int, declared: tuple[str, ...] = ()) -> str:
     """Write a snapshot's tables; ``declared`` fields get typed key columns. Refuses to overwrite one."""
     path = f"{root}/v{version:08d}"
@@ -27,8 +42,8 @@ def write_snapshot(s: Snapshot, root: str, version: int, declared: tuple[str, ..
     fs, hadoop = _fs(spark, path)
     if fs.exists(hadoop):
         raise Conflict(f"{path} exists")
-    J.declare(s.nodes, *declared).write.partitionBy("kind").parquet(f"{path}/nodes")
-    s.edges.write.parquet(f"{path}/edges")
+    write_nodes(s.nodes, f"{path}/nodes", declared)
+    write_edges(s.edges, f"{path}/edges")
     s.history.write.parquet(f"{path}/history")
     return path
 
@@ -60,6 +75,18 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return Snapshot(nodes, edges, history)
 
 
-def backup(df: DataFrame, path: str) -> None:
-    """A copy that never overwrites."""
-    df.write.mode("errorifexists").parquet(path)
+def backup(s: Snapshot, path: str) -> None:
+    """A copy of a snapshot's plain tables that never overwrites."""
+    for name, df, schema in zip(TABLES, (s.nodes, s.edges, s.history), (NODE, EDGE, HISTORY), strict=True):
+        df.select(schema.fieldNames()).write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def restore(spark: SparkSession, path: str, root: str, declared: tuple[str, ...] = ()) -> int:
+    """Publish a backup as the store's next version; what was published stays readable by its number."""
+    if not all(_fs(spark, f"{path}/{t}")[0].exists(_fs(spark, f"{path}/{t}")[1]) for t in TABLES):
+        raise Invalid(f"{path} is no backup")
+    version = (current(spark, root) or 0) + 1
+    nodes, edges, history = (spark.read.schema(x).parquet(f"{path}/{t}") for t, x in zip(TABLES, (NODE, EDGE, HISTORY), strict=True))
+    write_snapshot(Snapshot(nodes, edges, history), root, version, declared)
+    publish(spark, root, version)
+    return version
