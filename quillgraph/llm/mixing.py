@@ -2,24 +2,30 @@
 
 Each source gets a target of words (weights share a budget; no target goes
 above ``max_repeats`` times its source, the excess is shared again). A
-document's expected copies are ``lambda = target * x / sum(size * x)`` with an
-importance x (1 where none is given). ``floor(lambda)`` copies are certain. For
-one more copy, with inclusion probability p the fraction left, documents of a
+document's expected copies are ``lambda = min(max_repeats, c * x)`` with its
+importance x and the c at which a source's expected words are its target; the
+query's importance is the number of binary digits of the document's size, so
+longer documents are likelier. ``floor(lambda)`` copies are certain. For one
+more copy, with inclusion probability p the fraction left, documents of a
 source are ranked by ``(u / (1 - u)) / (p / (1 - p))``, u being a hash of the
 seed and doc_id, and the sample of fixed size, in words, is the prefix of that
 ranking that fits what the target leaves. What the prefix falls short by is
-made up with ``FILLS`` documents further down, each the one that brings the sum
-nearest to the target; only the last may go beyond it.
+made up further down the ranking: up to ``FILLS - 1`` times the next document
+that still fits, and at last the one that brings the sum nearest to the target,
+the earliest of equally near ones.
 
 The prefix is found without ranking a source in one task: the ranks fall into
 buckets in proportion to the source's rows, buckets are summed, and only the
-one that holds the cut is ordered.
+one that holds the cut is ordered. c is found from sums by importance, of which
+there are at most ``LEVELS`` a source: an importance is rounded to the nearest
+of as many steps of an eighth of a power of two (whole numbers up to 16 are
+kept as they are).
 
 Defined cases: a null text has size 0; null is a source of its own, after all
 others; a null doc_id hashes as ``null``; rows of one source with the same
 doc_id and rank are taken or left together; a source without words has target 0 and
-copies 0; an empty table gives no rows; more columns stay with ``mixed_rows``,
-whatever their names.
+copies 0; an importance that is null or not above 0 counts as the least; an empty
+table gives no rows; more columns stay with ``mixed_rows``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ from quillgraph.llm.storage import materialize
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BUCKET_ROWS = 5000
-FILLS = 3
+FILLS = 8
+LEVELS = 257
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,27 +53,52 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def digits(size: Column) -> Column:
+    """The number of binary digits of a size: the query's importance."""
+    return F.length(F.bin(size))
+
+
+def level(importance: Column) -> Column:
+    """An importance as one of ``LEVELS`` values, from 2^-16 to 2^16."""
+    steps = F.round(F.log2(importance) * 8)
+    rounded = F.pow(F.lit(2.0), F.least(F.greatest(steps, F.lit(-128.0)), F.lit(128.0)) / 8)
+    whole = (importance == F.floor(importance)) & importance.between(1, 16)
+    return F.when(whole, importance).when(importance > 0, rounded).otherwise(F.lit(2.0**-16)).cast("double")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, rows, mass, target: one row per source; the windows see one row per source too."""
-    per = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.sum(F.col("size") * F.col("x")).alias("mass")
-    )
+    """source, source_size, rows, target, c: one row per source; the windows see at most LEVELS rows of a source."""
+    levels = sizes.groupBy("source", "x").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    levels = materialize(levels, "mix-levels")
+    per = levels.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     per = per.withColumn("w", weight.cast("long")).withColumn("cap", F.col("source_size") * max_repeats)
     everything = Window.partitionBy()
     before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
+    share = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
         F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0))
     )
-    per = per.withColumn("capped", F.col("cap") <= F.col("w") * level)
+    per = per.withColumn("capped", F.col("cap") <= F.col("w") * share)
     free = F.try_divide(
         F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0)),
         F.col("all_w") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("w"))).over(everything), F.lit(0)),
     )
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * free)
-    return per.select("source", "source_size", "rows", "mass", target.alias("target"))
+    per = per.select("source", "source_size", "rows", target.alias("target"))
+    return _join(per, _rates(_join(levels.drop("rows"), per.select("source", "target")), max_repeats))
+
+
+def _rates(levels: DataFrame, max_repeats: int) -> DataFrame:
+    """source, c: the most important levels are taken max_repeats times while the rest's share would exceed that."""
+    above = Window.partitionBy("source").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("source").orderBy(F.col("x").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("target") - max_repeats * F.coalesce(F.sum("words").over(above), F.lit(0))
+    own = F.try_divide(left, F.sum(F.col("words") * F.col("x")).over(below))
+    rows = levels.withColumn("rate", own).withColumn("open", F.col("x") * F.col("rate") < max_repeats)
+    # the first open level's rate holds for it and all below; where none is open, everything is taken max_repeats times
+    return rows.groupBy("source").agg(F.max_by("rate", F.when(F.col("open"), F.col("x"))).alias("c"))
 
 
 def _join(left: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:
@@ -76,7 +108,8 @@ def _join(left: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFra
 
 
 def _ranked(sizes: DataFrame, per_source: DataFrame, max_repeats: int) -> DataFrame:
-    rate = F.when(F.col("mass") > 0, F.least(F.lit(float(max_repeats)), F.col("target") * F.col("x") / F.col("mass"))).otherwise(0.0)
+    most = F.lit(float(max_repeats))
+    rate = F.when(F.col("source_size") > 0, F.coalesce(F.least(most, F.col("c") * F.col("x")), most)).otherwise(0.0)
     rows = _join(sizes, per_source).withColumn("rate", rate).withColumn("sure", F.floor("rate"))
     p = F.col("rate") - F.col("sure")
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
@@ -91,7 +124,7 @@ def cuts(sizes: DataFrame, per_source: DataFrame, max_repeats: int = MAX_REPEATS
     ranked = rows.filter(F.col("rank").isNotNull())
     sure = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("sure")).alias("sure_words"))
     room = _join(per_source, sure).withColumn("room", F.col("target") - F.col("sure_words"))
-    room = room.select("source", "source_size", "rows", "mass", "target", "room")
+    room = room.select("source", "source_size", "rows", "c", "target", "room")
     by_bucket = Window.partitionBy("source").orderBy("bucket")
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("upto", F.sum("words").over(by_bucket))
@@ -109,19 +142,22 @@ def cuts(sizes: DataFrame, per_source: DataFrame, max_repeats: int = MAX_REPEATS
         F.max(F.struct("rank", "doc_id")).alias("last"), F.max("upto").alias("reached")
     )
     state = _join(room, last, "left").withColumn("gap", F.col("room") - F.coalesce("reached", "below"))
-    state = state.withColumn("filled", F.array().cast("array<struct<size:bigint,rank:double,doc_id:bigint>>"))
+    state = state.withColumn("filled", F.array().cast("array<struct<rank:double,doc_id:bigint>>"))
     state = materialize(state, "mix-cuts")
+    # what the fills choose from: the documents after the prefix that are no larger than twice the gap
+    spare = _join(ranked.select("source", "bucket", "rank", "doc_id", "size"), state.select("source", "cut_bucket", "last", "gap"))
+    spare = spare.filter(F.col("cut_bucket").isNotNull() & ~_in_prefix() & (F.col("size") < 2 * F.col("gap")))
+    spare = materialize(spare.select("source", "rank", "doc_id", "size"), "mix-spare")
     for left in reversed(range(fills)):
-        spare = _join(ranked.select("source", "bucket", "rank", "doc_id", "size"), state.select("source", "cut_bucket", "last", "gap", "filled"))
-        off = F.abs(F.col("size") - F.col("gap"))
-        spare = spare.filter(F.col("cut_bucket").isNotNull() & ~_in_prefix() & ~_in_fill())
-        spare = spare.filter(F.col("size") <= F.col("gap") if left else off < F.col("gap"))
-        best = spare.groupBy("source").agg(
-            F.max(F.struct((-off).alias("off"), "size", (-F.col("rank")).alias("rank"), (-F.col("doc_id")).alias("doc_id"))).alias("best")
-        )
-        best = best.select("source", F.struct("best.size", (-F.col("best.rank")).alias("rank"), (-F.col("best.doc_id")).alias("doc_id")).alias("best"))
+        here = F.struct("rank", "doc_id")
+        rows = _join(spare, state.select("source", "gap", F.get("filled", F.size("filled") - 1).alias("at")))
+        rows = rows.filter(F.col("at").isNull() | (here > F.col("at")))
+        rows = rows.filter(F.col("size") <= F.col("gap") if left else F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+        off = F.lit(0) if left else F.abs(F.col("size") - F.col("gap"))
+        best = rows.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "size")).alias("best"))
         state = _join(state, best, "left")
-        state = state.withColumn("filled", F.when(F.col("best").isNull(), F.col("filled")).otherwise(F.array_append("filled", F.col("best"))))
+        picked = F.array_append("filled", F.struct("best.rank", "best.doc_id"))
+        state = state.withColumn("filled", F.when(F.col("best").isNull(), F.col("filled")).otherwise(picked))
         state = materialize(state.withColumn("gap", F.col("gap") - F.coalesce("best.size", F.lit(0))).drop("best"), "mix-cuts")
     return state
 
@@ -140,15 +176,18 @@ def _in_fill() -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=17, importance: Column | None = None, keep_rows: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the row) of every row.
 
+    ``importance`` is a column of ``docs``, the digits of the size where none is given.
+
     All decisions are made on a narrow table. With ``keep_rows`` the texts are
     read once more and each whole row comes along as the struct ``_row``.
     """
-    x = importance if importance is not None else F.lit(1.0)
-    sizing = [word_count(F.col("text")).alias("size"), x.cast("double").alias("x"), uniform(F.col("doc_id"), seed).alias("u")]
+    size = word_count(F.col("text"))
+    x = level((importance if importance is not None else digits(size)).cast("double"))
+    sizing = [size.alias("size"), x.alias("x"), uniform(F.col("doc_id"), seed).alias("u")]
     sizes = materialize(docs.select("doc_id", "source", *sizing), "mix-sizes")
     per_source = materialize(targets(sizes, weights, max_repeats), "mix-targets")
     state = cuts(sizes, per_source, max_repeats)
-    own = state.select("source", "source_size", "rows", "mass", "target", "cut_bucket", "last", "filled")
+    own = state.select("source", "source_size", "rows", "c", "target", "cut_bucket", "last", "filled")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", *sizing) if keep_rows else sizes
     rows = _ranked(rows, own, max_repeats)
     more = F.col("rank").isNotNull() & (_in_prefix() | _in_fill())

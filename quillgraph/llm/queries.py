@@ -88,11 +88,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-OP1_SQL = r"""
-WITH d AS (
+def _op1_sql(fills: int) -> str:
+    """The mix in SQL; each fill is the next document by rank that fits, the last one that brings the sum nearest."""
+    out = r"""
+WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
+d AS (SELECT *, CASE WHEN length(bin(size)) <= 16 THEN length(bin(size)) ELSE pow(2.0, round(log2(length(bin(size))) * 8) / 8) END::DOUBLE AS x FROM d0),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, source_size * 3 AS cap FROM s),
 l AS (SELECT *,
@@ -101,30 +104,40 @@ l AS (SELECT *,
 f AS (SELECT source, source_size, CASE WHEN cap <= w * level THEN cap::DOUBLE ELSE w * (
     (sum(source_size) OVER () - coalesce(sum(cap) FILTER (cap <= w * level) OVER (), 0))::DOUBLE
     / nullif((sum(w) OVER () - coalesce(sum(w) FILTER (cap <= w * level) OVER (), 0))::DOUBLE, 0)) END AS target FROM l),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate
-  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+v AS (SELECT source, x, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+t AS (SELECT v.source, x, (target - 3 * coalesce(sum(words) OVER a, 0)) / nullif(sum(words * x) OVER b, 0) AS rate
+  FROM v JOIN f ON v.source IS NOT DISTINCT FROM f.source
+  WINDOW a AS (PARTITION BY v.source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    b AS (PARTITION BY v.source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT source AS sc, arg_max(rate, x) FILTER (x * rate < 3) AS c FROM t GROUP BY source),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN coalesce(least(3.0, c * x), 3.0) ELSE 0 END AS rate
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN c ON d.source IS NOT DISTINCT FROM sc),
 q AS (SELECT *, floor(rate)::BIGINT AS sure,
     CASE WHEN rate - floor(rate) > 0 AND size > 0
       THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS rnk FROM r),
-c AS (SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS room,
+w AS (SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS room,
     CASE WHEN rnk IS NOT NULL THEN sum(CASE WHEN rnk IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rnk NULLS LAST, doc_id) END AS upto
   FROM q),
-g1 AS (SELECT *, coalesce(upto <= room, false) AS pre,
-    room - coalesce(max(CASE WHEN upto <= room THEN upto END) OVER (PARTITION BY source), 0) AS gap1 FROM c),
-b1 AS (SELECT source AS s1, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -rnk, 'd': -doc_id}) AS f1
-  FROM g1 WHERE rnk IS NOT NULL AND NOT pre AND size <= gap1 GROUP BY source),
-g2 AS (SELECT g1.*, f1, gap1 - coalesce(f1.z, 0) AS gap2 FROM g1 LEFT JOIN b1 ON source IS NOT DISTINCT FROM s1),
-b2 AS (SELECT source AS s2, arg_max({'d': doc_id, 'z': size}, {'z': size, 'r': -rnk, 'd': -doc_id}) AS f2
-  FROM g2 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND size <= gap2 GROUP BY source),
-g3 AS (SELECT g2.*, f2, gap2 - coalesce(f2.z, 0) AS gap3 FROM g2 LEFT JOIN b2 ON source IS NOT DISTINCT FROM s2),
-b3 AS (SELECT source AS s3, arg_max({'d': doc_id}, {'o': -abs(size - gap3), 'z': size, 'r': -rnk, 'd': -doc_id}) AS f3
-  FROM g3 WHERE rnk IS NOT NULL AND NOT pre AND doc_id IS DISTINCT FROM f1.d AND doc_id IS DISTINCT FROM f2.d AND abs(size - gap3) < gap3 GROUP BY source)
-SELECT doc_id, size, source_size, target,
-  (sure + CASE WHEN rnk IS NOT NULL AND (pre OR doc_id = f1.d OR doc_id = f2.d OR doc_id = f3.d) THEN 1 ELSE 0 END) * size AS taken
-FROM g3 LEFT JOIN b3 ON source IS NOT DISTINCT FROM s3
+g AS (SELECT *, coalesce(upto <= room, false) AS pre FROM w),
+g0 AS (SELECT source, any_value(room) - coalesce(max(CASE WHEN pre THEN upto END), 0) AS gap, NULL::DOUBLE AS r, NULL::BIGINT AS i, []::BIGINT[] AS ids FROM g GROUP BY source)"""
+    for k in range(1, fills + 1):
+        fits, off = ("size <= gap", "0") if k < fills else ("abs(size - gap) < gap", "abs(size - gap)")
+        out += f""",
+b{k} AS (SELECT g.source AS s, arg_min({{'r': rnk, 'i': doc_id, 'z': size}}, {{'o': {off}, 'r': rnk, 'i': doc_id}}) AS best
+  FROM g JOIN g{k - 1} ON g.source IS NOT DISTINCT FROM g{k - 1}.source
+  WHERE rnk IS NOT NULL AND NOT pre AND (r IS NULL OR rnk > r OR rnk = r AND doc_id > i) AND {fits} GROUP BY g.source),
+g{k} AS (SELECT source, gap - coalesce(best.z, 0) AS gap, coalesce(best.r, r) AS r, coalesce(best.i, i) AS i,
+    CASE WHEN best IS NULL THEN ids ELSE list_append(ids, best.i) END AS ids
+  FROM g{k - 1} LEFT JOIN b{k} ON source IS NOT DISTINCT FROM s)"""
+    return out + f"""
+SELECT doc_id, size, source_size, target, (sure + CASE WHEN rnk IS NOT NULL AND (pre OR list_contains(ids, doc_id)) THEN 1 ELSE 0 END) * size AS taken
+FROM g JOIN g{fills} ON g.source IS NOT DISTINCT FROM g{fills}.source
 """
 
 
+OP1_SQL = _op1_sql(mixing.FILLS)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")

@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Rows with equal texts form a group. A group with more than ``1 / (shards *
-LARGE)`` of all bytes, tokens or rows is packed on its own; there are at most
-``3 * shards * LARGE`` of those. One with more than ``1 / (shards * SPLIT)`` is
-cut into slices by doc_id, so that a group of a third of all rows spreads.
-All other groups are hashed into ``BUNDLES`` bundles. So the packer sees a
-number of items that depends on the parameters, never on the table. Items go,
+Rows with equal texts form a group, and a group stays together unless it holds
+more bytes, tokens or rows than one shard's share: only then it is cut, by
+doc_id, into as few slices as fit a shard each, so that a group of a third of
+all rows spreads. A group with more than ``1 / (shards * LARGE)`` of all bytes,
+tokens or rows is packed on its own; there are at most ``3 * shards * LARGE`` of
+those. All other groups are hashed into ``BUNDLES`` bundles. So the packer sees
+a number of items that depends on the parameters, never on the table. Items go,
 largest first, to the shard where the dot product of the item with the shard's
 residual capacity is highest, and a bounded number of exchanges evens the rest;
 that is all that runs on the driver.
@@ -27,7 +28,6 @@ from quillgraph.llm.storage import materialize
 
 SHARDS = 8
 LARGE = 256
-SPLIT = 16
 BUNDLES = 8192
 SLOT_ROWS = 20000
 POLISH = 200
@@ -45,8 +45,8 @@ def measures() -> dict[str, Column]:
     }
 
 
-def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of bytes, tokens, rows): largest first, by dot product with residual capacity."""
+def greedy(items: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard of each item, items as shares of a shard, loads): largest first, by dot product with residual capacity."""
     total = items.sum(axis=0, dtype=np.float64)
     share = items / np.where(total > 0, total, 1) * shards
     residual = np.ones((shards, items.shape[1]))
@@ -54,7 +54,13 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.argsort(-share.max(axis=1), kind="stable"):
         best = out[i] = int(np.argmax(residual @ share[i]))
         residual[best] -= share[i]
-    return _polish(share, out, 1 - residual)
+    return out, share, 1 - residual
+
+
+def pack(items: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item (rows of bytes, tokens, rows): the greedy placement, evened out by exchanges."""
+    out, share, loads = greedy(items, shards)
+    return _polish(share, out, loads)
 
 
 def _polish(share: np.ndarray, out: np.ndarray, loads: np.ndarray) -> np.ndarray:
@@ -94,7 +100,7 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     share = F.greatest(*(F.col(c) / F.lit(float(cap)) for c, cap in zip("btn", caps, strict=True)))
     heavy = groups.withColumn("share", share).filter((F.col("share") > 1 / LARGE) & (F.col("n") > 1) | (F.col("share") > 4 / LARGE))
-    heavy = heavy.select("group_key", F.least("n", F.ceil(F.col("share") * SPLIT)).alias("slices")).collect()  # at most 3 * shards * LARGE
+    heavy = heavy.select("group_key", F.least("n", F.ceil(F.col("share"))).alias("slices")).collect()  # at most 3 * shards * LARGE
     first, units = [], BUNDLES
     for key, slices in sorted(heavy):
         first.append((bytes(key), units, int(slices)))

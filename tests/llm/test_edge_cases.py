@@ -32,8 +32,39 @@ def none(make_docs):
 def test_mixing(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 11 and all(r.copies in (0, 1, 2, 3) and r.size >= 0 for r in rows)
-    assert sum(r.copies * r.size for r in rows) == sum(r.size for r in rows)  # one source takes everything once
+    assert abs(sum(r.copies * r.size for r in rows) - sum(r.size for r in rows)) <= 2  # one source: its own words again, to a word or two
     assert mixing.mix(none).count() == 0
+    even = mixing.mix(odd, importance=F.lit(1)).collect()
+    assert all(r.copies == 1 for r in even if r.size)  # without importance one source takes everything once
+    assert {r.copies for r in mixing.mix(odd, importance=F.lit(None).cast("double")).collect() if r.size} == {1}
+
+
+def test_mixing_includes_by_importance(make_docs):
+    """Over seeds, a document's copies are on average what its importance asks for."""
+    least, most, seeds = 1, 30, 8
+    docs = make_docs([(i, "w " * 20, "a" if i < 1200 else "b") for i in range(1500)]).withColumn("imp", F.lit(least) + F.col("doc_id") % most)
+    total: dict[int, int] = {}
+    for seed in range(seeds):
+        for r in mixing.mix(docs, seed=seed, importance=F.col("imp")).collect():
+            total[r.doc_id] = total.get(r.doc_id, 0) + r.copies
+    # 24,000 and 6,000 words; weights 5 and 2, no target above 3 times its source
+    target = {"a": 30000 * 5 / 7, "b": 30000 * 2 / 7}
+    for source, ids in (("a", range(1200)), ("b", range(1200, 1500))):
+        x = {i: least + i % most for i in ids}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(20 * min(3, c * mixing_level(v)) for v in x.values()) < target[source] else (low, c)
+        for v in set(x.values()):
+            own = [i for i in ids if x[i] == v]
+            want, got = min(3, low * mixing_level(v)), sum(total[i] for i in own) / seeds / len(own)
+            assert abs(got - want) <= 0.05 + 4 * (want % 1 * (1 - want % 1) / seeds / len(own)) ** 0.5, (source, v, got, want)
+
+
+def mixing_level(v):
+    import math
+
+    return v if v <= 16 else 2 ** (round(math.log2(v) * 8) / 8)
 
 
 def test_mixing_a_hot_source(make_docs):
