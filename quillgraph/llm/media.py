@@ -6,9 +6,11 @@ writing task packs its distinct images into tar shards of at most
 ``SHARD_BYTES``, named by the payload's SHA-256, and gives every row (digest,
 shard, offset, length). Within a task an equal payload is stored once; copies
 in other tasks point to their own task's shard, so the texts are never
-shuffled. Metadata columns come from range reads of the image's first 33
-bytes; features from a range read of the whole image, decoded and verified
-against its address.
+shuffled. The metadata columns (width, height, bit depth, colour type) come from
+range reads of the image's first 33 bytes; features from a range read of the
+whole image, decoded and verified against that header and its address. Reading
+tasks take some ``READ_BYTES`` of images each, so a large shard is read by
+several.
 
 Defined cases: a null text is empty (its payload is 192 spaces); a repeated
 row points to the same bytes; texts of any length are stored whole; an empty
@@ -31,12 +33,14 @@ from quillgraph.llm.storage import AtomicFile, materialize, new_dir, partition_i
 
 WIDTH = 192
 SHARD_BYTES = 128 << 20
+READ_BYTES = 32 << 20
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 REFS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-META = "shard string, offset long, width int, height int, bit_depth int, color_type int"
+PLACE = "shard string, offset long, length long, digest string"
+META = f"{PLACE}, width int, height int, bit_depth int, color_type int"
 STORED = (
-    "shard string, offset long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+    f"{META}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string"
 )
 
@@ -125,25 +129,35 @@ def store_media(docs: DataFrame, folder: str, level: int = 6, shard_bytes: int =
 
 
 def _rows(rows, types, ddl):
-    names = [c.split()[0] for c in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_names(ddl))
 
 
-def _each_stored(refs: DataFrame, read, types, ddl: str) -> DataFrame:
-    """Run ``read(file, offset, length)`` over the distinct stored images, a shard's in one task and in order."""
-    places = refs.select("shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def stored_images(refs: DataFrame) -> DataFrame:
+    """The distinct stored images: shard, offset, length, digest."""
+    return refs.select("shard", "offset", "length", "digest").distinct()
+
+
+def _each_stored(images: DataFrame, read, types, ddl: str) -> DataFrame:
+    """Run ``read(file, row)`` over images (PLACE first); what lies together in a shard is read in one task and in order."""
+    total = images.agg(F.sum("length")).first()[0] or 0
+    near = F.floor(F.col("offset") / READ_BYTES)
+    places = images.repartition(total // READ_BYTES + 1, "shard", near).sortWithinPartitions("shard", "offset")
 
     def scan(batches):
         shard, raw = None, None
         for batch in batches:
             rows = []
-            for name, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if name != shard:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != shard:
                     if raw:
                         raw.close()
-                    fs, path = resolve(name)
-                    shard, raw = name, fs.open_input_file(path)
-                rows.append((name, offset, *read(raw, offset, length)))
+                    fs, path = resolve(row[0])
+                    shard, raw = row[0], fs.open_input_file(path)
+                rows.append((*row, *read(raw, row)))
             if rows:
                 yield _rows(rows, types, ddl)
         if raw:
@@ -152,32 +166,38 @@ def _each_stored(refs: DataFrame, read, types, ddl: str) -> DataFrame:
     return places.mapInArrow(scan, ddl)
 
 
-def probe_media(refs: DataFrame) -> DataFrame:
-    """Metadata columns of each stored image, from range reads of its header only."""
+_PLACE_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string())
+_META_TYPES = (*_PLACE_TYPES, *[pa.int32()] * 4)
+
+
+def probe_media(images: DataFrame) -> DataFrame:
+    """The images with their metadata columns, from range reads of the headers only."""
 
-    def head(raw, offset, length):
-        return png_header(raw.read_at(min(HEADER_BYTES, length), offset))
+    def head(raw, row):
+        return png_header(raw.read_at(min(HEADER_BYTES, row[2]), row[1]))
 
-    return _each_stored(refs, head, (pa.string(), pa.int64(), *[pa.int32()] * 4), META)
+    return _each_stored(images.select(_names(PLACE)), head, _META_TYPES, META)
 
 
-def read_media(refs: DataFrame) -> DataFrame:
-    """Decode each stored image once, verify it against its header, and compute digests and features."""
+def read_media(probed: DataFrame) -> DataFrame:
+    """Decode each image once, verify it against its metadata and address, and compute digests and features."""
 
-    def whole(raw, offset, length):
+    def whole(raw, row):
+        _, offset, length, digest, width, height, depth, color = row
         image = raw.read_at(length, offset)
         payload = decode_png(image)
-        return (
-            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), length,
-            hashlib.sha256(image).hexdigest(), feature_of(payload),
-        )
+        sha = hashlib.sha256(payload).hexdigest()
+        if sha != digest or len(payload) != width * height or (depth, color) != (8, 0):
+            raise ValueError(f"the image at {row[0]}:{offset} is not what its address or header says")
+        return len(payload), sha, zlib.crc32(payload[-16:]), length, hashlib.sha256(image).hexdigest(), feature_of(payload)
 
-    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return _each_stored(refs, whole, types, STORED)
+    types = (*_META_TYPES, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return _each_stored(probed.select(_names(META)), whole, types, STORED)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store all texts and return per row its reference and what reading the stored bytes back gives."""
+    """Store all texts and return per row its reference, its image's metadata, and what reading the stored bytes back gives."""
     refs = store_media(docs, new_dir(docs.sparkSession, "media"))
-    found = materialize(read_media(refs), "media-read")
-    return refs.join(found, ["shard", "offset"])
+    probed = materialize(probe_media(materialize(stored_images(refs), "media-images")), "media-probed")
+    found = materialize(read_media(probed), "media-read")
+    return refs.join(found.drop("length", "digest"), ["shard", "offset"])

@@ -200,12 +200,9 @@ def links(distinct: DataFrame) -> DataFrame:
         return [(fps[a], fps[b]) for a, b in forest(fps, free)]
 
     def pair_up(batches):
-        tab, key, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def whole(upto: int) -> pa.RecordBatch:
-            t, k, f = tab[:upto], key[:upto], fp[:upto]
+        def whole(t: np.ndarray, k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(t) != 0)) + 1])
-            sizes = np.diff(np.append(starts, upto))
+            sizes = np.diff(np.append(starts, len(k)))
             two = starts[sizes == 2]
             a, b = f[two], f[two + 1]
             near = np.bitwise_count(a ^ b) <= RADIUS
@@ -216,21 +213,37 @@ def links(distinct: DataFrame) -> DataFrame:
             a, b = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            tab = np.concatenate([tab, batch.column("tab").to_numpy()])
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            changes = np.flatnonzero((np.diff(key) != 0) | (np.diff(tab) != 0))
-            if len(changes):  # the last bucket may go on in the next batch
-                upto = int(changes[-1]) + 1
-                yield whole(upto)
-                tab, key, fp = tab[upto:], key[upto:], fp[upto:]
-        if len(tab):
-            yield whole(len(tab))
+        def columns(batch):
+            return batch.column("tab").to_numpy(), batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+
+        for pieces in whole_buckets(map(columns, batches), 2):
+            yield whole(*map(np.concatenate, zip(*pieces, strict=True)))
 
     return rows.mapInArrow(pair_up, "a long, b long")
 
 
+def whole_buckets(batches, keys: int):
+    """Lists of consecutive pieces (tuples of arrays, sorted by the first ``keys`` of them) that end where a bucket ends; each row is copied once."""
+    held = []
+    for piece in batches:
+        if not len(piece[0]):
+            continue
+        differs = np.zeros(len(piece[0]), bool)
+        for k in piece[:keys]:
+            differs[1:] |= k[1:] != k[:-1]
+        differs[0] = bool(held) and any(old[-1] != new[0] for old, new in zip(held[-1][:keys], piece[:keys], strict=True))
+        starts = np.flatnonzero(differs)
+        if len(starts):  # the last bucket may go on in the next batch
+            at = int(starts[-1])
+            if at:
+                held.append(tuple(c[:at] for c in piece))
+            yield held
+            held, piece = [], tuple(c[at:] for c in piece)
+        held.append(piece)
+    if held:
+        yield held
+
+
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of at least this Jaccard similarity, by breadth-first search."""
     size = np.array([len(x) for x in sets])
@@ -267,27 +280,21 @@ def similar_links(members: DataFrame, similarity: float) -> DataFrame:
     rows = members.select("key", "fp", "shingles").repartition("key").sortWithinPartitions("key")
 
     def pair_up(batches):
-        key, fp, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def whole(upto: int) -> pa.RecordBatch:
-            cuts = [0, *(np.flatnonzero(np.diff(key[:upto])) + 1).tolist(), upto]
+        def whole(key: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             found = [(s + a, s + b) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for a, b in similar_forest(sets[s:e], similarity)]
             ends = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(fp[ends[:, i]]) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
+        def columns(batch):
             column = batch.column("shingles")
             values, at = column.values.to_numpy(), column.offsets.to_numpy()
-            sets += [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            changes = np.flatnonzero(np.diff(key))
-            if len(changes):  # the last bucket may go on in the next batch
-                upto = int(changes[-1]) + 1
-                yield whole(upto)
-                key, fp, sets = key[upto:], fp[upto:], sets[upto:]
-        if len(key):
-            yield whole(len(key))
+            sets = [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return batch.column("key").to_numpy(), batch.column("fp").to_numpy(), sets
+
+        for pieces in whole_buckets(map(columns, batches), 1):
+            key, fp, sets = zip(*pieces, strict=True)
+            yield whole(np.concatenate(key), np.concatenate(fp), [x for part in sets for x in part])
 
     return rows.mapInArrow(pair_up, "a long, b long")
 
@@ -318,7 +325,9 @@ def similar_roots(docs: DataFrame, prints: DataFrame, near: DataFrame, similarit
 
 
 def near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of every row; components are those of the links, smallest doc_id first.
+    """doc_id, fp, component_id, root of every row; components are those of the links, smallest doc_id first.
+
+    ``root`` is the component's smallest fingerprint, which tells components apart where doc_ids repeat.
 
     With ``similarity``, texts of at least that Jaccard similarity of shingles are linked as well.
     """
@@ -332,8 +341,8 @@ def near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: i
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(named.join(names, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(named.join(names, "root").select("fp", "component_id", "root"), "simhash-classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: Column) -> Column:
@@ -352,9 +361,10 @@ def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = SI
     kept = docs.filter("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
-    odd = docs.join(F.broadcast(repeated) if repeated.count() < 10000 else repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    odd = odd.withColumn("_fp", fingerprint_column(F.col("text")))
-    classes = found.select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c")).distinct()
-    first = Window.partitionBy("_c", F.when(F.col("_c").isNull(), F.col("_fp"))).orderBy("text")
-    odd = odd.join(classes, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_c"))).withColumn("_n", F.row_number().over(first))
-    return kept.union(odd.filter("_n = 1").select(docs.columns))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row")["doc_id"].alias("id"), F.col("row")["text"].alias("text"))
+    odd = rows.join(F.broadcast(repeated) if repeated.count() < 10000 else repeated, rows["id"].eqNullSafe(repeated["doc_id"]), "left_semi")
+    odd = odd.withColumn("fp", fingerprint_column(F.col("text")))
+    classes = found.select("fp", "root", F.col("component_id").alias("component")).distinct()
+    first = Window.partitionBy("root").orderBy("text")
+    odd = odd.join(classes, "fp").filter(F.col("id").eqNullSafe(F.col("component"))).withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return kept.union(odd.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

@@ -13,6 +13,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -32,8 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return (uri if "://" in uri or uri.startswith("file:") else "file://" + uri).rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch():
+    """The list of the folders that are named meanwhile, to be deleted when nothing reads them any more."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -68,10 +92,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def resolve(uri: str) -> tuple[pafs.FileSystem, str]:

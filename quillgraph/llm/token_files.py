@@ -1,17 +1,18 @@
 """Token-id files: flat unsigned integers, 64-bit document offsets, memory-mapped.
 
 The documents are range-partitioned by doc_id (nulls first, ties by text), and
-each task writes three flat little-endian files: ``.bin`` (ids, 16 bits where
-the vocabulary allows, else 32), ``.idx`` (document offsets in ids, int64, one
-more than documents) and ``.doc`` (doc_id, int64; null is the smallest int64).
-A partition's base in the whole stream is the prefix sum of the manifest's
-counts, one row per partition.
-
-``memo=True`` is for tokenizers like the word-end BPE one, whose pre-tokenizer
-drops white space and cuts lower-cased texts by ``CUT``: each distinct piece is
-then encoded once per worker and kept in a table of at most MEMO_PIECES; the
-tests compare with encoding whole texts, which ``memo=False`` does for any
-tokenizer.
+each task writes flat little-endian files, a new set whenever one holds
+``FILE_BYTES`` of ids, so that reading one back takes bounded memory: ``.bin``
+(ids, 16 bits where the vocabulary allows, else 32), ``.idx`` (document offsets
+in ids, int64, one more than documents) and ``.doc`` (doc_id, int64; null is the
+smallest int64). A file's base in the whole stream is the prefix sum of the
+manifest's counts, one row per file.
+
+Where the tokenizer's own description says that it drops white space and cuts
+lower-cased texts as ``CUT`` does (``cuts_by_word``), each distinct piece is
+encoded once per worker and kept in a table of at most MEMO_PIECES; the tests
+compare with encoding whole texts, which any other tokenizer gets, and
+``memo=False`` asks for.
 
 Defined cases: a null text is empty and gets its end id alone; repeated rows
 are separate documents; an empty table gives no files and no rows; more
@@ -20,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,11 +36,27 @@ from quillgraph.llm.storage import AtomicFile, materialize, new_dir, partition_i
 END_ID = 2
 NULL_ID = -(1 << 63)
 MEMO_PIECES = 400_000
-MANIFEST = "part int, prefix string, docs long, ids long, width int"
+FILE_BYTES = 256 << 20
+MANIFEST = "part int, piece int, prefix string, docs long, ids long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Fixed: the pre-tokenizer's pattern for lower-cased texts without RARE characters, which no normaliser changes.
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 RARE = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+#: Fixed: what a tokenizer's description must hold for CUT and the end of a word to be its own.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def cuts_by_word(path: str) -> bool:
+    """Whether a tokenizer encodes a text as its pieces by CUT, one after another."""
+    with open(path, encoding="utf-8") as raw:
+        told = json.load(raw)
+    model, parts = told["model"], [(told.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    return plain and parts == [NORMALIZER, PRE_TOKENIZER] and all(t["content"].startswith("<|") for t in told["added_tokens"])
 
 
 def load_tokenizer(path: str):
@@ -92,9 +110,14 @@ def _encode_pieces(tokenizer, pieces: list[str]) -> list[list[int]]:
 
 
 def write_token_files(
-    docs: DataFrame, vocab_file: str, folder: str, end_id: int = END_ID, width: int | None = None, memo: bool = True
+    docs: DataFrame, vocab_file: str, folder: str, end_id: int = END_ID, width: int | None = None, memo: bool | None = None,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Encode all texts in ascending doc_id order into flat files; return the manifest with bases."""
+    """Encode all texts in ascending doc_id order into flat files; return the manifest with bases.
+
+    ``memo`` asks for (or forbids) encoding by piece; a tokenizer that does not cut by word is never so encoded.
+    """
+    memo = memo is not False and cuts_by_word(vocab_file)
     if width is None:
         width = 2 if max(load_tokenizer(vocab_file).get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -106,35 +129,43 @@ def write_token_files(
         tokenizer, part = load_tokenizer(vocab_file), partition_id()
         known = process_cache(f"memo_{vocab_file}_{width}", dict) if memo else None
         last = np.array([end_id], f"<u{width}").tobytes()
-        prefix, files, ids, offsets, keys = f"{folder}/{part:06d}", None, 0, [0], []
+        piece, files, offsets, keys = 0, None, [0], []
+
+        def close():
+            nonlocal piece, files, offsets, keys
+            prefix = f"{folder}/{part:06d}-{piece:06d}"
+            with AtomicFile(prefix + ".idx") as idx:
+                idx.write(np.array(offsets, "<i8").tobytes())
+            with AtomicFile(prefix + ".doc") as doc:
+                doc.write(np.array([NULL_ID if k is None else k for k in keys], "<i8").tobytes())
+            files.__exit__(None, None, None)
+            columns = [[part], [piece], [prefix], [len(keys)], [offsets[-1]], [width]]
+            types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+            piece, files, offsets, keys = piece + 1, None, [0], []
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "piece", "prefix", "docs", "ids", "width"]
+            )
+
         try:
             for batch in batches:
-                files = files or AtomicFile(prefix + ".bin")
-                keys += batch.column("doc_id").to_pylist()
-                texts = batch.column("text").to_pylist()
+                names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for k in range(0, len(texts), 64):
-                    for got in encode_texts(tokenizer, texts[k : k + 64], width, known):
+                    for name, got in zip(names[k : k + 64], encode_texts(tokenizer, texts[k : k + 64], width, known), strict=False):
+                        files = files or AtomicFile(f"{folder}/{part:06d}-{piece:06d}.bin")
                         files.write(got + last)
-                        ids += len(got) // width + 1
-                        offsets.append(ids)
+                        keys.append(name)
+                        offsets.append(offsets[-1] + len(got) // width + 1)
+                        if files.size >= file_bytes:
+                            yield close()
+            if files:
+                yield close()
         except BaseException as e:
             if files:
                 files.__exit__(type(e), e, None)
             raise
-        if files and keys:
-            with AtomicFile(prefix + ".idx") as idx:
-                idx.write(np.array(offsets, "<i8").tobytes())
-            with AtomicFile(prefix + ".doc") as doc:
-                doc.write(np.array([NULL_ID if k is None else k for k in keys], "<i8").tobytes())
-            files.__exit__(None, None, None)
-            columns = [[part], [prefix], [len(keys)], [ids], [width]]
-            types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "prefix", "docs", "ids", "width"]
-            )
 
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
-    parts = sorted(manifest.collect(), key=lambda r: r.part)  # one row per partition
+    parts = sorted(manifest.collect(), key=lambda r: (r.part, r.piece))  # one row per file
     bases = np.concatenate([[0], np.cumsum([r.ids for r in parts])]).tolist()
     rows = [(*r, int(b)) for r, b in zip(parts, bases, strict=False)]
     return docs.sparkSession.createDataFrame(rows, MANIFEST + ", base long")

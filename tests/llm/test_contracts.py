@@ -79,15 +79,48 @@ def _fit(item, words):
     return int(row.min())
 
 
+def plain_png(image):
+    """width, height, depth, colour and samples of a PNG without filters, by a decoder of its own."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data, head = 8, b"", None
+    while at < len(image):
+        n, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        body = image[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(image[at + 8 + n : at + 12 + n], "big")
+        head = body if kind == b"IHDR" else head
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    raw = zlib.decompress(data)
+    lines = [raw[i * (width + 1) : (i + 1) * (width + 1)] for i in range(height)]
+    assert len(raw) == height * (width + 1) and all(line[0] == 0 for line in lines)
+    return width, height, head[8], head[9], b"".join(line[1:] for line in lines)
+
+
 def test_op4_round_trip(spark, sf_dir, docs):
-    rows = {r["doc_id"]: r for r in rows_of(spark, sf_dir, "op4_media")}
+    import tarfile
+
+    from quillgraph.llm import media
+
+    rows = {r["doc_id"]: r.asDict() for r in media.media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     assert len(rows) == len(docs)
+    tars = {}
+    for shard in {r["shard"] for r in rows.values()}:
+        with tarfile.open(shard.removeprefix("file://")) as tar:
+            tars[shard] = {m.name: tar.extractfile(m).read() for m in tar}
     for d in docs:
         data = (d["text"] or "").encode()
         payload = data.ljust(max(192, -(-len(data) // 192) * 192))
         r = rows[d["doc_id"]]
-        assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
+        image = tars[r["shard"]][f"{hashlib.sha256(payload).hexdigest()}.png"]
+        assert plain_png(image) == (r["width"], r["height"], r["bit_depth"], r["color_type"], payload) and r["width"] == 192
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(data), len(payload), len(image))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert r["media_sha256"] == hashlib.sha256(image).hexdigest()
+        bins = [sum(1 for x in payload if x // 32 == k) * 1000 // len(payload) for k in range(8)]
+        assert r["feature"] == f"h{len(payload) // 192}.m{sum(payload) // len(payload)}.d{len(set(payload))}." + "-".join(map(str, bins))
+    thin = {r["doc_id"]: r for r in rows_of(spark, sf_dir, "op4_media")}
+    assert all(thin[i][c] == rows[i][c] for i in rows for c in thin[i] if c != "doc_id")
 
 
 def brute_simhash(text):
@@ -200,6 +233,27 @@ def test_packing_is_the_greedy_by_dot_product():
         assert len(even) == n and (n == 0 or spread(even) <= spread(got) + 1e-9)
 
 
+def test_op7_scores_are_the_density_ratio():
+    """Against the two Gaussian densities written out with inverses and determinants."""
+    from quillgraph.llm import quality
+
+    rng = np.random.default_rng(8)
+    x = {c: rng.normal(c, 1 + c, (80 + 40 * c, 5)) @ rng.normal(size=(5, 5)) for c in (0, 1)}
+    model = quality.fit_sums({c: (len(v), v.sum(axis=0), v.T @ v) for c, v in x.items()}, alpha=0.3, gamma=0.1)
+    whole = np.concatenate([x[0], x[1]])
+    z = {c: (v - whole.mean(axis=0)) / whole.std(axis=0) for c, v in x.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in z.items()}
+    pooled = sum(len(z[c]) * own[c] for c in z) / len(whole)
+    log = {}
+    at = rng.normal(0, 2, (30, 5))
+    for c in z:
+        cov = 0.7 * own[c] + 0.3 * pooled
+        cov = 0.9 * cov + 0.1 * np.trace(cov) / 5 * np.eye(5)
+        d = (at - whole.mean(axis=0)) / whole.std(axis=0) - z[c].mean(axis=0)
+        log[c] = np.log(len(z[c]) / len(whole)) - 0.5 * (np.log(np.linalg.det(cov)) + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.score(at), 1 / (1 + np.exp(log[0] - log[1])), atol=1e-9)
+
+
 def test_op7_ranks_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}

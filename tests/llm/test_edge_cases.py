@@ -165,10 +165,12 @@ def test_warc_reader_notices_damage():
 
 def test_media(odd, none):
     refs = media.store_media(odd, media.new_dir(odd.sparkSession, "t"), shard_bytes=1 << 16)
-    rows = media.read_media(refs).collect()
-    heads = {(r.shard, r.offset): r for r in media.probe_media(refs).collect()}
-    assert all(heads[r.shard, r.offset].width == 192 and heads[r.shard, r.offset].height * 192 == r.payload_bytes for r in rows)
+    probed = media.probe_media(media.stored_images(refs))
+    rows = media.read_media(probed).collect()
+    assert all(r.width == 192 and r.width * r.height == r.payload_bytes for r in rows) and probed.count() == len(rows)
     assert {r.payload_sha256 for r in rows} == {r.digest for r in refs.collect()} and media.media_columns(odd).count() == 11
+    with pytest.raises(Exception, match="is not what its address or header says"):
+        media.read_media(probed.withColumn("height", F.lit(7))).collect()
     assert media.media_columns(none).count() == 0
 
 
@@ -224,6 +226,30 @@ def test_token_files(odd, none, vocab):
         assert sorted(whole, key=str) == sorted(memo, key=str) and len(memo) == 11
         assert sorted(r.start for r in memo)[0] == 0 and {r.doc_id for r in memo if r.start < 2} == {None}
     assert token_files.read_token_files(token_files.tokenize(none, vocab)).count() == 0
+    manifest = token_files.tokenize(odd, vocab, file_bytes=64)
+    assert manifest.count() > token_files.tokenize(odd, vocab).count()  # more files, the same stream
+    assert sorted(token_files.read_token_files(manifest).collect(), key=str) == sorted(token_files.read_token_files(token_files.tokenize(odd, vocab)).collect(), key=str)
+
+
+def test_other_tokenizers_encode_whole_texts(make_docs, vocab, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    told = json.loads(open(vocab, encoding="utf-8").read())
+    told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+|\p{N}+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told), encoding="utf-8")
+    texts = ["it's 1234 o'clock, isn't it?", "Fünf 55", "", "a,b;c"]
+    for path in (str(other), str(public_tokenizers.path("byte_bpe_50k.json"))):
+        assert token_files.cuts_by_word(vocab) and not token_files.cuts_by_word(path)
+        t, got = Tokenizer.from_file(path), {}
+        for r in token_files.tokenize(make_docs(list(enumerate(texts)), parts=1), path).collect():
+            ids = token_files.map_file(r.prefix + ".bin", f"<u{r.width}").tolist()
+            at = token_files.map_file(r.prefix + ".idx", "<i8").tolist()
+            got |= {k: ids[a : b - 1] for k, a, b in zip(token_files.map_file(r.prefix + ".doc", "<i8").tolist(), at, at[1:], strict=False)}
+        assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
 
 
 @settings(max_examples=150, deadline=None)
@@ -260,3 +286,43 @@ def test_chat(spark):
     assert [(t.role, t.text) for t in got[2].turns] == [("", ""), ("user", "tie"), ("user", "tie")] and list(got[None].loss_texts) == ["x"]
     assert [(t.role, t.text) for t in got[3].turns] == [("odd: role </turn>\n", "y"), ("### ", "z")]
     assert chat.format_conversations(source.limit(0)).count() == 0
+
+
+CLASH = ("_fp", "_c", "_n", "fp", "n", "row", "id", "component", "rank", "bucket", "x", "u", "target", "unit", "slices", "group_key", "shard", "score", "a", "b")
+
+
+def test_stages_keep_clashing_columns(spark, odd, make_docs, tmp_path):
+    """Every stage of the pipeline on odd rows, empty tables and columns that share names with its own."""
+    import corpus_pipeline
+
+    docs = odd.union(make_docs([(8, "one more"), (9, "two words"), (9, "two words"), (None, "null id")])).select("*", *(F.lit(n).alias(n) for n in CLASH))
+    folders = {}
+    for name, rows in (("full", docs), ("empty", docs.limit(0))):
+        folders[name] = str(tmp_path / name)
+        rows.write.parquet(f"{folders[name]}/documents.parquet")
+        spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").limit(int(name == "full")).write.parquet(f"{folders[name]}/labels.parquet")
+        spark.createDataFrame([(1, "not in any text"), (2, None)], "item_id long, text string").limit(2 * int(name == "full")).write.parquet(f"{folders[name]}/benchmark.parquet")
+    full = spark.read.parquet(f"{folders['full']}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, folders["full"])
+        assert set(out.columns) == set(full.columns), name
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in CLASH if n != "shard"), name
+        assert stage(spark, full.limit(0), folders["full"]).count() == 0, name
+    kept = corpus_pipeline.dedupe(spark, full, folders["full"]).collect()
+    assert sorted(str(r.text) for r in kept) == sorted({str(r.text) for r in full.collect()} - {"", " \n\t "})
+    assert corpus_pipeline.run(spark, folders["empty"]).count() == 0
+    got = corpus_pipeline.run(spark, folders["full"])
+    assert got.columns == [c for c in full.columns if c != "shard"] + ["shard"] and got.count() > 0
+
+
+def test_buckets_come_whole_from_any_batches():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 40, 500))
+    cuts = [0, *sorted(rng.integers(0, 501, 30)), 500]
+    got = list(simhash.whole_buckets(((keys[a:b], np.arange(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)), 1))
+    parts = [np.concatenate([p[0] for p in pieces]) for pieces in got]
+    assert np.array_equal(np.concatenate(parts), keys) and np.array_equal(np.concatenate([p[1] for pieces in got for p in pieces]), np.arange(500))
+    assert all(not set(a) & set(b) for a, b in zip(parts, parts[1:], strict=False))
