@@ -17,7 +17,7 @@ from quillgraph.operators import text as X
 from quillgraph.plans import expr as E
 from quillgraph.sources import catalog as src
 from quillgraph.sources import stored as db
-from quillgraph.sources.session import cut
+from quillgraph.sources.session import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -539,6 +539,21 @@ def audience_feed(spark, sf_dir):
     return feed.resume(events.withColumn("audience", private), last - 300, Requester("u:3")).select("seq", "event_type")
 
 
+@query("SELECT event_id AS seq, event_type FROM events WHERE event_id > 50 AND (event_id % 4 <> 0 OR user_id % 10 = 3)")
+def stream_feed(spark, sf_dir):
+    """A live subscription that breaks off, misses events and resumes from its own position."""
+    from quillgraph.streaming import feed as live
+
+    work = f"{shared_folder(spark)}/feed-{spark.sql('SELECT uuid()').first()[0]}"
+    private = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("u:"), (F.col("user_id") % 10).cast("string")))
+    events = src.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq").withColumn("audience", private).select("seq", "event_type", "audience")
+    for part in range(3):  # events are published, the subscriber connects and is gone again
+        events.filter(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(f"{work}/events")
+        stream = live.live(spark, f"{work}/events", events.schema, Requester("u:3"), after=50)
+        live.deliver(stream, f"{work}/out", f"{work}/position")
+    return spark.read.parquet(f"{work}/out").select("seq", "event_type")
+
+
 @query("SELECT event_id AS seq, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def feed_payloads(spark, sf_dir):
     rows = src.table(spark, sf_dir, "events").select(feed.inject_seq(F.col("props"), F.col("event_id")).alias("data"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.errors import Conflict, Invalid
 from quillgraph.functions import jsonval as J
@@ -30,6 +31,13 @@ def write_nodes(nodes: DataFrame, path: str, declared: tuple[str, ...] = (), ord
     rows.write.partitionBy("kind").parquet(path)
 
 
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes as written; a kind is a text, whatever it looks like."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField("kind", T.StringType()) if f.name == "kind" else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_edges(edges: DataFrame, path: str, end: str = "from") -> None:
     """Edges in order of one end, for adjacency from there."""
     edges.repartitionByRange(end).sortWithinPartitions(end, F.octet_length("kind"), "kind").write.parquet(path)
@@ -71,8 +79,8 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     version = current(spark, root) if version is None else version
     if version is None:
         raise Invalid("nothing has been published")
-    nodes, edges, history = (spark.read.parquet(f"{root}/v{version:08d}/{t}") for t in TABLES)
-    return Snapshot(nodes, edges, history)
+    edges, history = (spark.read.parquet(f"{root}/v{version:08d}/{t}") for t in TABLES[1:])
+    return Snapshot(read_nodes(spark, f"{root}/v{version:08d}/nodes"), edges, history)
 
 
 def backup(s: Snapshot, path: str) -> None:

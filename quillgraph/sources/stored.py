@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.operators.text import postings
 from quillgraph.sources import catalog
 from quillgraph.sources.session import shared_folder
-from quillgraph.sources.store import write_edges, write_nodes
+from quillgraph.sources.store import read_nodes, write_edges, write_nodes
 
 INDEXED = (
     "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate", "c_custkey", "c_nationkey", "n_nationkey", "n_regionkey",
@@ -37,7 +37,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], Non
 
 
 def _nodes(spark: SparkSession, sf_dir: str, name: str, make, *indexed: str, order: str = "address") -> DataFrame:
-    return spark.read.parquet(once(spark, sf_dir, name, lambda path: write_nodes(make(spark, sf_dir), path, indexed, order)))
+    return read_nodes(spark, once(spark, sf_dir, name, lambda path: write_nodes(make(spark, sf_dir), path, indexed, order)))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quillgraph.functions.lower import simple_lower
 from quillgraph.model import Requester
 from quillgraph.operators import aggregate as A
 from quillgraph.operators import changes as C
-from quillgraph.operators import feed, graph, integrity, mutate
+from quillgraph.operators import feed, graph, integrity, mutate, stats
 from quillgraph.operators import query as Q
 from quillgraph.operators import text as X
 from quillgraph.plans import expr as E
@@ -489,6 +489,126 @@ def test_snapshots_are_published_by_a_pointer(spark, tmp_path):
     assert store.read_snapshot(spark, root).nodes.count() == 2 and store.read_snapshot(spark, root, 1).nodes.count() == 1
 
 
+def test_backup_and_restore(spark, tmp_path):
+    root, copy = f"file://{tmp_path}/store", f"file://{tmp_path}/copy"
+    s = mutate.upsert(_snapshot(spark, make(spark, [("a", {"n": 1}), ("b", {"n": 2}, "7")])), make(spark, [("a", {"n": 3})]))
+    store.backup(s, copy)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        store.backup(s, copy)
+    assert store.restore(spark, copy, root, ("n",)) == 1 and store.restore(spark, copy, root) == 2
+    back = store.read_snapshot(spark, root, 1)
+    assert {(r.address, r.kind, r.data) for r in back.nodes.collect()} == {("a", "K", '{"n": 3}'), ("b", "7", '{"n": 2}')}
+    assert [(r.address, r.version, json.loads(r.node.data)) for r in back.history.collect()] == [("a", 1, {"n": 1})]
+    with pytest.raises(Invalid):
+        store.restore(spark, f"file://{tmp_path}/nothing", root)
+
+
+def test_catalog_is_taken_apart(spark):
+    nodes = cut(make(spark, TREE))
+    c = _catalog(nodes, "cascade")
+    assert [r.name for r in c.reference_listing()] == ["Disk_r", "Rack_r"] and [i.name for i in c.listing()] == ["Disk_i", "Rack_i"]
+    with pytest.raises(Conflict):
+        c.drop_index("Rack_i")
+    for name in ("Rack_r", "Disk_r"):
+        c = c.drop_reference(name)
+    assert not c.drop_index("Rack_i").drop_index("Disk_i").listing()
+    for drop in (c.drop_index, c.drop_reference):
+        with pytest.raises(Invalid):
+            drop("nothing")
+
+
+def test_text_indexes_refuse_long_texts(spark):
+    long = "x" * (integrity.MAX_TEXT_BYTES + 1)
+    for mode in ("text", "folded"):
+        index = integrity.Index("t", "K", "body", mode=mode)
+        with pytest.raises(Conflict):
+            integrity.Catalog().create_index(index, make(spark, [("a", {"body": long})]))
+        nodes = make(spark, [("a", {"body": long[:-1]})])
+        s = _snapshot(spark, nodes, integrity.Catalog().create_index(index, nodes))
+        with pytest.raises(Conflict):
+            mutate.upsert(s, make(spark, [("b", {"body": long})]))
+        assert mutate.upsert(s, make(spark, [("b", {"body": 5}), ("c", {"body": long}, "Other")])).nodes.count() == 3
+
+
+def test_inserts_with_edges_and_updates(spark):
+    s = _snapshot(spark, make(spark, [("a", {"n": 1}, "K", "ana"), ("b", {}, "K", "bo")]))
+    node, edge = make(spark, [("c", {}, "K", "ana")]), lambda *ends: spark.createDataFrame([(*ends, "k", "ana")], model.EDGE)
+    out = mutate.insert_with_edges(s, node, edge("c", "a"), ANA)
+    assert _state(out)[1] == [("c", "a", "k", "ana")] and out.nodes.count() == 3
+    for bad, options in ((edge("c", "nobody"), {}), (edge("b", "a"), {"node": make(spark, [("b", {}, "K", "ana")])}), (edge("a", "b"), {"node": make(spark, [("a", {}, "K", "ana")]), "if_absent": True})):
+        with pytest.raises(Conflict):
+            mutate.insert_with_edges(s, options.pop("node", node), bad, ANA, **options)
+    changed = mutate.update(s, "a", '{"n":2}', ANA, visibility="Private")
+    row = changed.nodes.filter("address = 'a'").first()
+    assert (json.loads(row.data), row.visibility, changed.history.count()) == ({"n": 2}, "Private", 1)
+    for address, who in (("nobody", ANA), ("b", ANA)):
+        with pytest.raises(Precondition):
+            mutate.update(s, address, "{}", who)
+
+
+def test_publishing_and_rendering(spark):
+    assert feed.publish('{"a":1}', ANA) == ('{"a":1}', "ana") and feed.publish("x", model.ADMIN) == ("x", None)
+    with pytest.raises(Invalid):
+        feed.publish("x" * (model.MAX_PAYLOAD_BYTES + 1), ANA)
+    rows = make(spark, [("a", {"n": 1}, "K", "ana", "Private"), ("b", {})])
+    assert [json.loads(r.json)["address"] for r in Q.to_json_rows(rows).collect()] == ["a", "b"]
+    assert [r.h for r in rows.select(feed.node_audience().alias("h")).collect()] == ["ana", None]
+    assert {r.kind: r.nodes for r in stats.kind_tally(rows, BO).collect()} == {"K": 1}
+    spot = spark.range(1).select(model.coordinate(*(F.lit(v) for v in (0, 255, 7, 1))).alias("c"))
+    assert tuple(spot.first().c) == (0, 255, 7, 1)
+    with pytest.raises(Exception, match="0..255"):
+        spark.range(1).select(model.coordinate(*(F.lit(v) for v in (0, 256, 7, 1))).alias("c")).collect()
+
+
+def test_traffic_beyond_the_slots_shares_a_row(spark):
+    rows = spark.range(10).select(F.struct(F.col("id").alias("x")).alias("coordinate"), F.lit(1).alias("reads"), F.lit(2).alias("writes"), F.lit(3).alias("bytes"))
+    got = {r.coordinate.x if r.coordinate else None: (r.reads, r.writes, r.bytes) for r in stats.cell_traffic(rows, slots=4).collect()}
+    assert got == {None: (6, 12, 18), **{i: (1, 2, 3) for i in range(4)}}
+
+
+def test_the_stream_forgets_what_can_never_commit(spark, tmp_path):
+    from quillgraph.streaming.changes import stream_changes
+
+    for i in range(3):  # transaction 9 stays open
+        rows = [(100 * i + 1, 9 if i == 0 else 0, "Insert", f"a{i}"), (100 * i + 2, 0, "Insert", f"b{i}")]
+        _log(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    got = stream_changes(spark, f"{tmp_path}/log", f"{tmp_path}/kept", retain=150)
+    assert sorted(r.address for r in got.collect()) == ["a1", "a2", "b0", "b1", "b2"]
+    left = lambda work, batch: spark.read.schema(model.LOG).parquet(f"{tmp_path}/{work}/state/{batch}").count()
+    assert (left("kept", 1), left("kept", 2)) == (1, 0)
+    stream_changes(spark, f"{tmp_path}/log", f"{tmp_path}/all")
+    assert left("all", 2) == 1
+
+
+def _pushed(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[text.index("PushedFilters") :]
+
+
+def test_tests_on_stored_keys_reach_the_scan(spark, tmp_path):
+    store.write_nodes(make(spark, [(f"a{i:03d}", {"s": f"t{i}", "n": i}) for i in range(50)]), f"{tmp_path}/n", ("s", "n"))
+    nodes = spark.read.parquet(f"{tmp_path}/n")
+    for where, parts in (
+        (E.op(E.get("s"), "==", "t7"), ("EqualTo(key_s.txt,t7)",)),
+        (E.op(E.get("s"), "starts_with", "t1"), ("StringStartsWith(key_s.txt,t1)",)),
+        (E.all_of(E.op(E.get("n"), ">", 4), E.op(E.get("n"), "<=", 9)), ("GreaterThan(key_n.num,4.0)", "LessThanOrEqual(key_n.num,9.0)", "Not(EqualTo(key_n.rank,3))")),
+    ):
+        rows = Q.matching(nodes, kind="K", where=where).select("address")
+        assert all(p in _pushed(rows) for p in parts), _pushed(rows)
+        assert sorted(addresses(rows)) == sorted(addresses(Q.matching(nodes.drop("key_s", "key_n"), kind="K", where=where)))
+        assert "data" not in _pushed(rows).split("ReadSchema")[1]
+    assert "EqualTo(address,a007)" in _pushed(Q.point_get(nodes, "a007"))
+    page = Q.run(nodes, Q.Query(order="n", limit=10))
+    assert "GreaterThanOrEqual(key_n.num,9.0)" in _pushed(Q.page_frame(nodes, Q.Query(order="n", cursor=page.next)))
+    # a row on which a comparison fails is not filtered away
+    odd = make(spark, [("a", {"n": 1, "s": "x"}), ("b", {"n": "text", "s": "y"})])
+    store.write_nodes(odd, f"{tmp_path}/odd", ("s", "n"))
+    for where in (E.op(E.get("n"), ">", 5), E.all_of(E.op(E.get("n"), ">", 0), E.op(E.get("s"), "==", "x"))):
+        with pytest.raises(Exception, match="needs numbers"):
+            Q.matching(spark.read.parquet(f"{tmp_path}/odd"), where=where).collect()
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     from quillgraph.sources import catalog
 
