@@ -120,18 +120,18 @@ def kind_tally_visible(spark, sf_dir):
   + (SELECT count(*) FROM customer) AS edges,
  (SELECT count(*) - count(DISTINCT user_id) FROM events) AS history""")
 def stats_counts(spark, sf_dir):
-    return stats.counters(db.nodes(spark, sf_dir), db.edges(spark, sf_dir), src.history(spark, sf_dir))
+    return stats.counters(db.nodes(spark, sf_dir), db.edges(spark, sf_dir), db.history(spark, sf_dir))
 
 
 @query("SELECT user_id AS u, version, archived_at_unix FROM (SELECT user_id, row_number() OVER w AS version, lead(event_id) OVER w AS archived_at_unix FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE archived_at_unix IS NOT NULL AND user_id = 8")
 def history_of(spark, sf_dir):
-    rows = Q.history_of(src.history(spark, sf_dir), src.user_nodes(spark, sf_dir), "User:8")
+    rows = Q.history_of(db.history(spark, sf_dir), db.user_nodes(spark, sf_dir), "User:8")
     return rows.select(F.lit(8).cast("long").alias("u"), "version", "archived_at_unix")
 
 
 @query("SELECT 'User:' || user_id AS address, count(*) - 1 AS versions FROM events GROUP BY 1 HAVING count(*) > 1")
 def history_counts(spark, sf_dir):
-    return src.history(spark, sf_dir).groupBy("address").agg(F.count("*").alias("versions"))
+    return db.history(spark, sf_dir).groupBy("address").agg(F.count("*").alias("versions"))
 
 
 # -- predicates ----------------------------------------------------------------------------------------------------
@@ -379,7 +379,7 @@ def cascade_closure(spark, sf_dir):
 def set_null_result(spark, sf_dir):
     nodes = db.nodes(spark, sf_dir)
     ref = integrity.Reference("order_customer", "Order", "o_custkey", "Customer", "c_custkey", "set_null")
-    s = mutate.Snapshot(nodes, db.edges(spark, sf_dir), src.history(spark, sf_dir).limit(0), integrity.Catalog(references={ref.name: ref}))
+    s = mutate.Snapshot(nodes, db.edges(spark, sf_dir), db.history(spark, sf_dir).limit(0), integrity.Catalog(references={ref.name: ref}))
     after = mutate.delete(s, spark.createDataFrame([("Customer:1",), ("Customer:4",)], "address string"))
     hit = after.nodes.join(after.history.filter("node.kind = 'Order'").select("address"), "address", "left_semi")
     return hit.select("address", J.field("o_custkey").rank.alias("rank"), J.field("o_orderpriority").txt.alias("priority"))
@@ -396,7 +396,7 @@ def restrict_blockers(spark, sf_dir):
 
 def _snapshot(spark, sf_dir) -> mutate.Snapshot:
     nodes = db.order_nodes(spark, sf_dir)
-    return mutate.Snapshot(nodes, db.edges(spark, sf_dir), src.history(spark, sf_dir).limit(0), now=1)
+    return mutate.Snapshot(nodes, db.edges(spark, sf_dir), db.history(spark, sf_dir).limit(0), now=1)
 
 
 @query("""SELECT 'Order:' || o_orderkey AS address, CASE WHEN o_orderkey % 10 = 0 THEN 'Z' ELSE o_orderstatus END AS status,
@@ -500,22 +500,22 @@ _CHANGE = "seq, change, address, owner, visibility"
 
 @query(f"WITH {LOG} SELECT {_CHANGE} FROM ch")
 def changes_committed(spark, sf_dir):
-    return C.committed_changes(src.log(spark, sf_dir)).select(*_CHANGE.split(", "))
+    return C.committed_changes(db.log(spark, sf_dir)).select(*_CHANGE.split(", "))
 
 
 @query(f"WITH {LOG}, f AS (SELECT * FROM ch WHERE seq > 400 ORDER BY seq LIMIT 25) SELECT {_CHANGE} FROM ch WHERE seq > 400 AND unit <= (SELECT max(unit) FROM f)")
 def changes_page(spark, sf_dir):
-    return C.page(cut(src.log(spark, sf_dir)), after=400, limit=25).changes.select(*_CHANGE.split(", "))
+    return C.page(db.log(spark, sf_dir), after=400, limit=25).changes.select(*_CHANGE.split(", "))
 
 
 @query(f"WITH {LOG} SELECT {_CHANGE} FROM ch WHERE visibility = 'Public' OR owner = 'u:3'")
 def changes_visible_to_owner(spark, sf_dir):
-    return C.admitted(C.committed_changes(src.log(spark, sf_dir)), Requester("u:3")).select(*_CHANGE.split(", "))
+    return C.admitted(C.committed_changes(db.log(spark, sf_dir)), Requester("u:3")).select(*_CHANGE.split(", "))
 
 
 @query(f"WITH {LOG} SELECT address, max(seq) AS seq FROM ch GROUP BY 1 HAVING arg_max(change, seq) <> 'deleted'")
 def latest_state_from_log(spark, sf_dir):
-    return C.latest_state(src.log(spark, sf_dir)).select("address", "seq")
+    return C.latest_state(db.log(spark, sf_dir)).select("address", "seq")
 
 
 @query(f"WITH {LOG} SELECT {_CHANGE} FROM ch")
@@ -524,7 +524,7 @@ def stream_changes(spark, sf_dir):
 
     cut(spark.range(1))
     work = f"{spark.sparkContext.getCheckpointDir() or ''}/stream-{spark.sql('SELECT uuid()').first()[0]}"
-    logs = cut(src.log(spark, sf_dir))
+    logs = db.log(spark, sf_dir)
     part = F.floor(F.col("sequence") * 3 / logs.agg(F.max("sequence")).first()[0])
     for i in range(4):  # a log grows in order: file after file
         logs.filter(part == i).coalesce(1).write.mode("append").parquet(f"{work}/log")

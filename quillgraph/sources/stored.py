@@ -75,3 +75,25 @@ def doc_postings(spark: SparkSession, sf_dir: str, folded: bool) -> DataFrame:
         index.repartitionByRange("gram").sortWithinPartitions("gram", "address").write.parquet(path)
 
     return spark.read.parquet(once(spark, sf_dir, f"postings-{folded}", write))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's records in segments by sequence, as they were committed."""
+
+    def write(path: str) -> None:
+        catalog.log(spark, sf_dir).repartitionByRange("sequence").sortWithinPartitions("sequence").write.parquet(path)
+
+    return spark.read.parquet(once(spark, sf_dir, "log", write))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived states in order of address and version."""
+
+    def write(path: str) -> None:
+        catalog.history(spark, sf_dir).repartitionByRange("address", "version").sortWithinPartitions("address", "version").write.parquet(path)
+
+    return spark.read.parquet(once(spark, sf_dir, "history", write))
+
+
+def user_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir, "users", catalog.user_nodes)
