@@ -48,6 +48,7 @@ SIDE = 4
 MINIMA = SIDE * SIDE
 SIMILARITY = 0.8
 BLOCK = 1024
+WORDS = 32
 LAST = (1 << 63) - 1
 
 
@@ -122,18 +123,22 @@ def _shingles(units: Column) -> Column:
     return F.array_distinct(F.flatten(hashes))
 
 
-def _similar(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
-    common = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y)) - F.lit(1e-9)
-    return sizes & (common >= similarity * (F.size(x) + F.size(y) - common) - F.lit(1e-9))
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two lines' sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
+
+    def similar(sets: Column) -> Column:
+        n, m, common = F.size(sets["a"]), F.size(sets["b"]), F.size(F.array_intersect(sets["a"], sets["b"]))
+        sizes = F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-9)
+        return F.when(sizes, common >= similarity * (n + m - common) - F.lit(1e-9)).otherwise(False)
+
+    # the transform binds the sets: the optimizer would else make them anew at each place of use
+    return F.get(F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similar), 0)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this exact Jaccard similarity of shingles."""
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "units": "ua"}), "a").join(texts.withColumnsRenamed({"h": "b", "units": "ub"}), "b")
-    both = both.select("a", "b", _shingles(F.col("ua")).alias("sa"), _shingles(F.col("ub")).alias("sb"))
-    return both.filter(_similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
+    return both.filter(_alike(F.col("ua"), F.col("ub"), similarity)).select("a", "b")
 
 
 def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -157,26 +162,39 @@ def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(within.select("key").distinct(), "key", "left_anti")
 
 
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """h, how many shingles (repeats counted), and 64 * WORDS bits (w0, ...) of which each distinct shingle sets one."""
+    cells = texts.select("h", "units", F.explode(F.sequence(F.lit(1), F.octet_length("units") - (2 * SHINGLE - 1), F.lit(2))).alias("i"))
+    cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i"), F.lit(2 * SHINGLE))).alias("v"))
+    word, bit = F.shiftrightunsigned("v", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(v & 63 AS int))")
+    return cells.groupBy("h").agg(F.count("*").alias("n_all"), *(F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(WORDS)))
+
+
 def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): the similar lines of different components that share a bucket.
 
-    The members outside of a bucket's largest component are compared with all others.
+    The members outside of a bucket's largest component are compared with all
+    others. Bits that only one line has are at most as many as the shingles
+    that only one has, so a pair with too many of them cannot be similar; the
+    sets of the others are made and compared within the join.
     """
-    rows = split.join(texts, "h").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
+    texts = texts.join(split.select("h").distinct(), "h", "left_semi")
+    rows = split.join(materialize(texts.join(bitmaps(texts), "h"), "lines-bits"), "h").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
     left = rows.filter("NOT main").withColumn("block", F.pmod("h", "blocks").cast("int"))
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # texts, not sets, are shuffled: the sets are made in the tasks that compare them
-    left, right = (
-        side.select("key", "block", "h", "root", "main", "own", "units").repartition("key", "block")
-        .select("key", "block", "h", "root", "main", "own", _shingles(F.col("units")).alias("s"))
-        for side in (left, right)
-    )
-    right = right.toDF("key", "block", "h2", "root2", "main2", "own2", "s2")
-    apart = (F.col("root") != F.col("root2")) & (F.col("main2") | (F.col("h") < F.col("h2")))
-    small, large = F.least(F.size("s"), F.size("s2")), F.greatest(F.size("s"), F.size("s2"))
-    new = apart & (small >= similarity * large - F.lit(1e-9)) & ~F.arrays_overlap("own", "own2") & _similar(F.col("s"), F.col("s2"), similarity)
-    both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & new)
-    return both.select(*_pair(F.col("h"), F.col("h2")))
+    words = [f"w{w}" for w in range(WORDS)]
+    columns = ["h", "root", "main", "own", "n_all", "units", *words]
+    left, right = (side.select("key", "block", *columns) for side in (left, right))
+    right = right.toDF("key", "block", *(f"{c}_b" for c in columns))
+    apart = (F.col("root") != F.col("root_b")) & (F.col("main_b") | (F.col("h") < F.col("h_b")))
+    odd = F.lit(0)
+    for w in words:
+        odd = odd + F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b")))
+    near = odd <= (F.col("n_all") + F.col("n_all_b")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    exact = _alike(F.col("units"), F.col("units_b"), similarity)
+    found = F.when(apart & near, F.when(~F.arrays_overlap("own", "own_b"), exact).otherwise(False)).otherwise(False)
+    both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & found)
+    return both.select(*_pair(F.col("h"), F.col("h_b")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
