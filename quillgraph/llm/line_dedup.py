@@ -14,7 +14,7 @@ part without shingles in both lines agrees), of 0.9 with 0.9999.
 A bucket of two is its pair. In a larger one each member is compared with the
 bucket's hub, the member whose buckets are largest, and the links found are
 joined into components. Where a bucket's other members still lie in several
-components, those of different components are compared by a join that has the exact
+components, those of different ones are compared by a join that has the exact
 Jaccard similarity as its condition: rows come out for links only, in blocks of
 ``BLOCK`` members, and a pair is compared in the first bucket it shares. So a
 pair of a bucket is either compared exactly or already connected; nothing is
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected_components
-from quillgraph.llm.storage import materialize, spread_join
+from quillgraph.llm.storage import drop_table, materialize, spread_join
 
 SHINGLE = 8
 SIDE = 4
@@ -123,22 +123,24 @@ def _shingles(units: Column) -> Column:
     return F.array_distinct(F.flatten(hashes))
 
 
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two lines' sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
+def _similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
+    n, m, common = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-9)
+    return F.when(sizes, common >= similarity * (n + m - common) - F.lit(1e-9)).otherwise(False)
 
-    def similar(sets: Column) -> Column:
-        n, m, common = F.size(sets["a"]), F.size(sets["b"]), F.size(F.array_intersect(sets["a"], sets["b"]))
-        sizes = F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-9)
-        return F.when(sizes, common >= similarity * (n + m - common) - F.lit(1e-9)).otherwise(False)
 
-    # the transform binds the sets: the optimizer would else make them anew at each place of use
-    return F.get(F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similar), 0)
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """The same of two lines; the transform binds their sets, which would else be made anew at each place of use."""
+    sets = F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))
+    return F.get(F.transform(F.array(sets), lambda s: _similar(s["a"], s["b"], similarity)), 0)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this exact Jaccard similarity of shingles."""
     both = pairs.join(texts.withColumnsRenamed({"h": "a", "units": "ua"}), "a").join(texts.withColumnsRenamed({"h": "b", "units": "ub"}), "b")
-    return both.filter(_alike(F.col("ua"), F.col("ub"), similarity)).select("a", "b")
+    both = both.select("a", "b", _shingles(F.col("ua")).alias("sa"), _shingles(F.col("ub")).alias("sb"))
+    return both.filter(_similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
 
 
 def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -180,13 +182,15 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     """
     texts = texts.join(split.select("h").distinct(), "h", "left_semi")
     rows = split.join(materialize(texts.join(bitmaps(texts), "h"), "lines-bits"), "h").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
-    left = rows.filter("NOT main").withColumn("block", F.pmod("h", "blocks").cast("int"))
-    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # 0 is of the largest component, 1 looks for others in this block, 2 in another block
+    role = F.when(F.col("main"), 0).when(F.pmod("h", "blocks") == F.col("block"), 1).otherwise(2)
     words = [f"w{w}" for w in range(WORDS)]
-    columns = ["h", "root", "main", "own", "n_all", "units", *words]
-    left, right = (side.select("key", "block", *columns) for side in (left, right))
-    right = right.toDF("key", "block", *(f"{c}_b" for c in columns))
-    apart = (F.col("root") != F.col("root_b")) & (F.col("main_b") | (F.col("h") < F.col("h_b")))
+    columns = ["h", "root", "role", "own", "n_all", "units", *words]
+    # both sides use the same columns, so that they read one shuffle
+    left = rows.withColumn("role", role).select("key", "block", *columns).repartition("key", "block")
+    right = left.toDF("key", "block", *(f"{c}_b" for c in columns))
+    apart = (F.col("role") == 1) & (F.col("root") != F.col("root_b")) & ((F.col("role_b") == 0) | (F.col("h") < F.col("h_b")))
     odd = F.lit(0)
     for w in words:
         odd = odd + F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b")))
@@ -205,8 +209,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): similar lines, by hash; they connect all similar lines that share a bucket."""
+    """(a, b): similar lines, by hash; they connect all similar lines that share a bucket. ``signed`` is a table that goes with its use."""
     twos, members = buckets(signed)
+    drop_table(signed)
     pairs, others = hub_pairs(members)
     pairs = materialize(twos.unionByName(pairs).distinct(), "lines-pairs")
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())

@@ -10,7 +10,7 @@ manifest's counts, one row per file.
 
 Where the tokenizer's own description says that it drops white space and cuts
 lower-cased texts as ``CUT`` does (``cuts_by_word``), each distinct piece is
-encoded once per worker and kept in a table of at most MEMO_PIECES; the tests
+encoded once per worker and kept in a table of at most MEMO_PIECES (some 150 MB); the tests
 compare with encoding whole texts, which any other tokenizer gets, and
 ``memo=False`` asks for.
 
@@ -35,7 +35,8 @@ from quillgraph.llm.storage import AtomicFile, materialize, new_dir, partition_i
 
 END_ID = 2
 NULL_ID = -(1 << 63)
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_000_000
+WORDS_AT_ONCE = 200
 FILE_BYTES = 256 << 20
 MANIFEST = "part int, piece int, prefix string, docs long, ids long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -83,8 +84,8 @@ def encode_texts(tokenizer, texts: list[str], width: int = 2, memo: dict[str, by
     for i, e in zip(whole, tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
         out[i] = pack(e.ids)
     if cut:
-        new = list({p for pieces in cut.values() for p in pieces if p not in memo})
-        got = dict(zip(new, map(pack, _encode_pieces(tokenizer, new)), strict=True))
+        new = list(set().union(*cut.values()).difference(memo))
+        got = dict(zip(new, _encode_pieces(tokenizer, new, width), strict=True))
         if len(memo) < MEMO_PIECES:
             memo.update(got)
             got = {}
@@ -94,18 +95,21 @@ def encode_texts(tokenizer, texts: list[str], width: int = 2, memo: dict[str, by
     return out
 
 
-def _encode_pieces(tokenizer, pieces: list[str]) -> list[list[int]]:
-    """Words are encoded as one text, cut again after each word's last token; the other pieces one by one."""
+def _encode_pieces(tokenizer, pieces: list[str], width: int) -> list[bytes]:
+    """WORDS_AT_ONCE words are encoded as one text, cut again after each word's last token; the other pieces one by one."""
     ends = process_cache(f"ends_{id(tokenizer)}", lambda: {i for t, i in tokenizer.get_vocab(False).items() if t.endswith("</w>")})
     words = [p for p in pieces if p.isalpha()]
-    found: dict[str, list[int]] = {}
-    if words:
-        flat = tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)[0].ids
-        stops = [k + 1 for k, i in enumerate(flat) if i in ends]
-        if len(stops) == len(words):
-            found = {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
+    found: dict[str, bytes] = {}
+    groups = [words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)]
+    for group, told in zip(groups, tokenizer.encode_batch(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+        flat = told.ids
+        stops = [width * (k + 1) for k, i in enumerate(flat) if i in ends]
+        if len(stops) == len(group):
+            packed = np.array(flat, f"<u{width}").tobytes()
+            found |= {w: packed[a:b] for w, a, b in zip(group, [0, *stops], stops, strict=False)}
     rest = [p for p in pieces if p not in found]
-    found |= zip(rest, (e.ids for e in tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True)
+    for p, told in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        found[p] = np.array(told.ids, f"<u{width}").tobytes()
     return [found[p] for p in pieces]
 
 
