@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions import jsonval as J
 from quillgraph.model import MAX_LIMIT, Requester
@@ -55,6 +56,12 @@ def ranked(rows: DataFrame, *order, keep: tuple = ("address",)) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.orderBy(*order))).select("rn", *keep)
 
 
+def as_read(rows: DataFrame) -> DataFrame:
+    """A bounded result with the place at which each row comes as ``rn``, where the operator's own order is the point."""
+    got = [(i + 1, *r) for i, r in enumerate(rows.collect())]
+    return rows.sparkSession.createDataFrame(got, T.StructType([T.StructField("rn", T.LongType()), *rows.schema.fields]))
+
+
 def result(rows: DataFrame, round_to: int = 2) -> DataFrame:
     return rows.withColumn("result_num", F.round("result_num", round_to))
 
@@ -257,6 +264,12 @@ def count_by_null_absent(spark, sf_dir):
     return A.count_by(db.sparse_nodes(spark, sf_dir), "g").select("value_rank", "value_txt", "result_int")
 
 
+@query(f"WITH {SPARSE} SELECT row_number() OVER (ORDER BY r, s) AS rn, r AS value_rank, s AS value_txt, count(*) AS result_int FROM p GROUP BY ALL")
+def group_order(spark, sf_dir):
+    """Groups come in the order of their values: null first, absent last."""
+    return as_read(A.count_by(db.sparse_nodes(spark, sf_dir), "g").select("value_rank", "value_txt", "result_int"))
+
+
 def _by(name: str, func: str, field: str, sql: str, columns: tuple[str, ...], round_to: int = 2) -> None:
     def run(spark, sf_dir):
         return result(A.aggregate_by(db.order_nodes(spark, sf_dir), "o_orderpriority", func, field), round_to).select("value_txt", *columns)
@@ -293,14 +306,16 @@ def visibility_groups(spark, sf_dir):
 # -- graph ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'FROM' AS kind, 'Nation:' || c_nationkey AS \"to\" FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'PLACED', 'Order:' || o_orderkey FROM orders WHERE o_custkey = 7")
+@query("""WITH e AS (SELECT 'FROM' AS kind, 'Nation:' || c_nationkey AS "to" FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'PLACED', 'Order:' || o_orderkey FROM orders WHERE o_custkey = 7)
+SELECT row_number() OVER (ORDER BY strlen(kind), kind, "to") AS rn, kind, "to" FROM e""")
 def edges_out(spark, sf_dir):
-    return graph.out_edges(db.edges(spark, sf_dir), "Customer:7").select("kind", "to")
+    return as_read(graph.out_edges(db.edges(spark, sf_dir), "Customer:7").select("kind", "to"))
 
 
-@query("SELECT DISTINCT 'CONTAINS' AS kind, 'Order:' || l_orderkey AS \"from\" FROM lineitem WHERE l_partkey = 5")
+@query("""WITH e AS (SELECT DISTINCT 'CONTAINS' AS kind, 'Order:' || l_orderkey AS "from" FROM lineitem WHERE l_partkey = 5)
+SELECT row_number() OVER (ORDER BY strlen(kind), kind, "from") AS rn, kind, "from" FROM e""")
 def edges_in(spark, sf_dir):
-    return graph.in_edges(db.edges(spark, sf_dir, "to"), "Part:5").select("kind", "from")
+    return as_read(graph.in_edges(db.edges(spark, sf_dir, "to"), "Part:5").select("kind", "from"))
 
 
 @query("SELECT 'Nation:' || n_nationkey AS \"from\", 'Region:' || n_regionkey AS \"to\", 'IN' AS kind, 'app' AS owner FROM nation WHERE n_nationkey = 3")

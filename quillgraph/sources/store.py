@@ -27,8 +27,11 @@ def _fs(spark: SparkSession, uri: str):
 
 def write_nodes(nodes: DataFrame, path: str, declared: tuple[str, ...] = (), order: str = "address") -> None:
     """Nodes by kind and, within a kind, in order, with a typed key column for each declared field."""
-    rows = J.declare(nodes, *declared).repartitionByRange("kind", order).sortWithinPartitions("kind", order, "address")
-    rows.write.partitionBy("kind").parquet(path)
+    if order in nodes.columns:  # the keys are parsed after the shuffle, which reads its input once more to find its ranges
+        rows = J.declare(nodes.repartitionByRange("kind", order), *declared)
+    else:
+        rows = J.declare(nodes, *declared).repartitionByRange("kind", order)
+    rows.sortWithinPartitions("kind", order, "address").write.partitionBy("kind").parquet(path)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
