@@ -264,7 +264,7 @@ def count_by_null_absent(spark, sf_dir):
     return A.count_by(db.sparse_nodes(spark, sf_dir), "g").select("value_rank", "value_txt", "result_int")
 
 
-@query(f"WITH {SPARSE} SELECT row_number() OVER (ORDER BY r, s) AS rn, r AS value_rank, s AS value_txt, count(*) AS result_int FROM p GROUP BY ALL")
+@query(f"WITH {SPARSE}, g AS (SELECT r, s, count(*) AS n FROM p GROUP BY r, s) SELECT row_number() OVER (ORDER BY r, s) AS rn, r AS value_rank, s AS value_txt, n AS result_int FROM g")
 def group_order(spark, sf_dir):
     """Groups come in the order of their values: null first, absent last."""
     return as_read(A.count_by(db.sparse_nodes(spark, sf_dir), "g").select("value_rank", "value_txt", "result_int"))
