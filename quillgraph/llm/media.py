@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.storage import AtomicFile, materialize, new_dir, partition_id, resolve
+from quillgraph.llm.storage import AtomicFile, drop_table, materialize, new_dir, partition_id, resolve
 
 WIDTH = 192
 SHARD_BYTES = 128 << 20
@@ -198,6 +198,9 @@ def read_media(probed: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store all texts and return per row its reference, its image's metadata, and what reading the stored bytes back gives."""
     refs = store_media(docs, new_dir(docs.sparkSession, "media"))
-    probed = materialize(probe_media(materialize(stored_images(refs), "media-images")), "media-probed")
+    images = materialize(stored_images(refs), "media-images")
+    probed = materialize(probe_media(images), "media-probed")
+    drop_table(images)
     found = materialize(read_media(probed), "media-read")
+    drop_table(probed)
     return refs.join(found.drop("length", "digest"), ["shard", "offset"])
