@@ -100,11 +100,3 @@ def test_leaks_without_their_first_or_last_words_at_the_ends_of_texts():
     together = {r for r, i, *_ in matcher.search(texts) if r == i}
     alone = {r for r in range(100) if any(i == r for _, i, *_ in matcher.search([texts[r]]))}
     assert together == alone and len(together) >= decontaminate.RECALL * 100
-
-
-def test_keyset_walk_reaches_every_order(spark, sf_dir):
-    from quillgraph import queries
-
-    got = [r.address for r in queries.QUERIES["keyset_whole_table"](spark, sf_dir).orderBy("rn").collect()]
-    keys = pq.read_table(f"{sf_dir}/orders.parquet", columns=["o_orderkey"]).column(0).to_pylist()
-    assert len(got) == len(keys) > 1000 and set(got) == {f"Mixed:{k}" for k in keys}
