@@ -20,3 +20,11 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert 0 < len(rows) <= 20
     assert [r.day for r in rows] == sorted((r.day for r in rows), reverse=True)
+
+
+def test_keyset_walk_reaches_every_order(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    got = [r.address for r in queries.QUERIES["keyset_all_pages"](spark, sf_dir).orderBy("rn").collect()]
+    keys = pq.read_table(f"{sf_dir}/orders.parquet", columns=["o_orderkey"]).column(0).to_pylist()
+    assert len(got) == len(keys) > 1000 and set(got) == {f"Mixed:{k}" for k in keys}
