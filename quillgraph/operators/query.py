@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillgraph import model
@@ -15,6 +16,7 @@ from quillgraph.errors import Invalid
 from quillgraph.functions import jsonval as J
 from quillgraph.model import ADMIN, Requester
 from quillgraph.plans import expr as E
+from quillgraph.sources.session import shared_folder
 
 
 @dataclass
@@ -122,8 +124,26 @@ def _order_key(nodes: DataFrame, q: Query) -> Column | None:
     return None if q.order in (None, "id") else J.okey(q.order, nodes.columns)
 
 
-def ordered(nodes: DataFrame, q: Query, who: Requester = ADMIN) -> DataFrame:
-    """The matching rows past the cursor with ``okey`` (constant where ordered by address), in order, unlimited."""
+def _from_cursor(nodes: DataFrame, q: Query, cursor: str, after: bool = True) -> Column:
+    """Whether a row (with ``okey``) comes after the cursor's, or else up to it and that row included, in the query's order."""
+    value, address = decode_cursor(cursor)
+    up = after != q.desc  # towards larger values
+    if _order_key(nodes, q) is None:
+        here, there = F.col("address"), F.lit(address)
+    else:
+        here, there = F.struct("okey", "address"), F.struct(value.key().alias("okey"), F.lit(address).alias("address"))
+    keep = (here > there if up else here < there) if after else (here >= there if up else here <= there)
+    if q.order is not None and J.key_column(q.order) in nodes.columns:  # implied by the struct's order, and within the scan's reach
+        stored = F.col(f"`{J.key_column(q.order)}`")
+        near = F.col("address") >= address if up else F.col("address") <= address
+        for part, at in ((stored["txt"], value.txt), (stored["num"], value.num), (stored["rank"], int_of(value.rank))):
+            near = (part > at if up else part < at) | (part == at) & near
+        keep = near & keep
+    return keep
+
+
+def ordered(nodes: DataFrame, q: Query, who: Requester = ADMIN, until: str = "") -> DataFrame:
+    """The matching rows past the cursor, and up to ``until`` (a cursor too), with ``okey`` (constant where ordered by address), in order, unlimited."""
     if q.limit < 0 or q.offset < 0:
         raise Invalid("limit and offset are not negative")
     if q.offset > model.MAX_OFFSET and not q.cursor:
@@ -132,17 +152,9 @@ def ordered(nodes: DataFrame, q: Query, who: Requester = ADMIN) -> DataFrame:
     rows = matching(nodes, who, q.kind, q.owner, q.where, q.item)
     rows = rows.withColumn("okey", J.absent().key() if key is None else key)
     if q.cursor:
-        value, address = decode_cursor(q.cursor)
-        if key is None:
-            rows = rows.filter(F.col("address") < address if q.desc else F.col("address") > address)
-        else:
-            here, there = F.struct("okey", "address"), F.struct(value.key().alias("okey"), F.lit(address).alias("address"))
-            rows = rows.filter(here < there if q.desc else here > there)
-            if J.key_column(q.order) in nodes.columns:  # implied by the struct's order, and within the scan's reach
-                stored = F.col(f"`{J.key_column(q.order)}`")
-                rank, num = stored["rank"], stored["num"]
-                at, n = int_of(value.rank), value.num
-                rows = rows.filter((rank < at) | (rank == at) & (num <= n) if q.desc else (rank > at) | (rank == at) & (num >= n))
+        rows = rows.filter(_from_cursor(nodes, q, q.cursor))
+    if until:
+        rows = rows.filter(_from_cursor(nodes, q, until, after=False))
     columns = ["address"] if key is None else ["okey", "address"]
     return rows.orderBy(*(F.col(c).desc() if q.desc else F.col(c).asc() for c in columns))
 
@@ -197,6 +209,62 @@ def pages(nodes: DataFrame, q: Query, who: Requester = ADMIN, most: int | None =
         q = Query(**{**q.__dict__, "cursor": page.next})
 
 
+def walk(nodes: DataFrame, q: Query, who: Requester = ADMIN, ahead: int = 1) -> DataFrame:
+    """place (from 1), okey and address of every row of all pages, in a table of its own: the rows that ``pages`` yields, none of them on the driver.
+
+    Each step reads ``ahead`` pages past the cursor by one top-k, which is written
+    where it is found; only the cursor of its last row comes back. A step reads up to
+    a fence, the cursor of a file's last row, behind which as many rows lie as it
+    asks for: of a table in order, that is a few files. A step that finds fewer goes
+    on without a fence, so the rows do not depend on where fences stand.
+    """
+    limit = min(q.limit, model.MAX_LIMIT)
+    folder, spark = f"{shared_folder(nodes.sparkSession)}/walk-{uuid.uuid4().hex}", nodes.sparkSession
+    chunk = limit * max(1, min(ahead, model.MAX_ROWS_HELD // max(1, limit)))
+    fences = _fences(nodes, q, who) if limit else []
+    way = [F.col(c).desc() if q.desc else F.col(c).asc() for c in ("okey", "address")]
+    done, step, until = 0, 0, ""
+    while True:
+        skip = q.offset if not q.cursor else 0
+        until = "" if skip else until
+        rows = ordered(nodes, q, who, until)
+        rows = (rows.offset(skip) if skip else rows).limit(chunk).select("okey", "address")
+        rows = rows.select((F.row_number().over(Window.orderBy(*way)) + F.lit(done).cast("long")).alias("place"), "okey", "address")
+        seen, last = Observation(), [F.max_by(c, "place").alias(c.split(".")[-1]) for c in ("okey.rank", "okey.num", "okey.txt", "address")]
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), *last).write.parquet(f"{folder}/{step:08d}")
+        got = seen.get
+        done, step = done + got["n"], step + 1
+        if got["n"] < chunk and not until or not limit:
+            return spark.read.schema(rows.schema).parquet(f"{folder}/*")
+        if got["n"]:
+            q = Query(**{**q.__dict__, "cursor": encode_cursor(got["rank"], got["num"], got["txt"], got["address"])})
+        until = _fence(fences, _place(q.cursor), chunk, q.desc) if got["n"] == chunk else ""
+
+
+def _place(cursor: str) -> tuple:
+    body = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+    return (J.ABSENT, 0.0, "", body["a"]) if body["r"] == J.ABSENT else (*J.parts(body["o"]), body["a"])
+
+
+def _fences(nodes: DataFrame, q: Query, who: Requester) -> list[tuple]:
+    """(place of the last row, rows) of each file that the rows come from, in the query's order."""
+    key = _order_key(nodes, q)
+    rows = matching(nodes, who, q.kind, q.owner, q.where, q.item)
+    here = F.struct((J.absent().key() if key is None else key).alias("okey"), "address")
+    ends = rows.groupBy(F.input_file_name()).agg((F.min(here) if q.desc else F.max(here)).alias("end"), F.count("*").alias("n"))
+    return sorted((((*r.end.okey, r.end.address), r.n) for r in ends.collect()), reverse=q.desc)
+
+
+def _fence(fences: list[tuple], at: tuple, wanted: int, desc: bool) -> str:
+    """The cursor of the first fence past ``at`` such that files which begin after ``at``, if files are in order, hold what is wanted; or none."""
+    ahead = [f for f in fences if (f[0] < at if desc else f[0] > at)]
+    for place, n in ahead[1:]:  # the first one may lie on both sides
+        wanted -= n
+        if wanted <= 0 and len((cursor := encode_cursor(*place)).encode()) <= model.MAX_CURSOR_BYTES:
+            return cursor
+    return ""
+
+
 def point_get(nodes: DataFrame, address: str, who: Requester = ADMIN) -> DataFrame:
     return model.visible(nodes.filter(F.col("address") == address), who)
 

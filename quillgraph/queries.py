@@ -196,8 +196,7 @@ def keyset_page_2(spark, sf_dir):
 def keyset_all_pages(spark, sf_dir):
     """Every page of a whole table, by cursor, to the last."""
     nodes = db.mixed_nodes(spark, sf_dir).select("address", "kind", "owner", "visibility", "key_m")
-    rows = [r.address for p in Q.pages(nodes, Q.Query(order="m", limit=MAX_LIMIT), ahead=100) for r in p.rows]
-    return spark.createDataFrame([(i + 1, a) for i, a in enumerate(rows)], "rn int, address string")
+    return Q.walk(nodes, Q.Query(order="m", limit=MAX_LIMIT), ahead=100).select(F.col("place").cast("int").alias("rn"), "address")
 
 
 @query(f"WITH {ORD} SELECT row_number() OVER (ORDER BY address) - 100 AS rn, address FROM o QUALIFY rn BETWEEN 1 AND 20")

@@ -30,7 +30,7 @@ def write_nodes(nodes: DataFrame, path: str, declared: tuple[str, ...] = (), ord
     if order in nodes.columns:  # the keys are parsed after the shuffle, which reads its input once more to find its ranges
         rows = J.declare(nodes.repartitionByRange("kind", order), *declared)
     else:
-        rows = J.declare(nodes, *declared).repartitionByRange("kind", order)
+        rows = J.declare(nodes, *declared).repartitionByRange("kind", order, "address")  # equal keys may fill many files
     rows.sortWithinPartitions("kind", order, "address").write.partitionBy("kind").parquet(path)
 
 

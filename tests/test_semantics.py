@@ -61,6 +61,36 @@ def test_pages_reach_null_and_absent_rows(spark):
     assert list(Q.pages(nodes.limit(0), Q.Query())) == [Q.Page()]
 
 
+def test_walk_holds_no_rows_on_the_driver(spark, tmp_path, monkeypatch):
+    values = ['"b"', "true", "null", "-1.5", "7", '"a"', "[1]"]
+    nodes = make(spark, [(f"n{i}", "{}" if i % 9 == 8 else f'{{"s":{values[i % 7]}}}', "Item") for i in range(150)])
+    store.write_nodes(nodes.repartition(5), str(tmp_path / "nodes"), ("s",), order="key_s")
+    stored = store.read_nodes(spark, str(tmp_path / "nodes"))
+    for rows, change in ((nodes, {}), (stored, {}), (stored, {"desc": True}), (stored, {"order": "id"}), (stored, {"offset": 40}), (stored, {"where": E.op(E.get("s"), "!=", None)})):
+        q = Q.Query(**{"order": "s", "limit": 4, **change})
+        want = [r.address for p in Q.pages(rows, q, ahead=5) for r in p.rows]
+        with monkeypatch.context() as patch:  # what makes up a walk is written where it is found
+            patch.setattr(Q, "_cut", None)
+            got = Q.walk(rows, q, ahead=5).orderBy("place").collect()
+        assert [r.address for r in got] == want and [r.place for r in got] == list(range(1, len(want) + 1)) and len(want) > 100
+    # fences that lie anywhere change what a step reads, never what a walk finds
+    monkeypatch.setattr(Q, "_fences", lambda *_: [((1, 0.0, "", "n3"), 9), ((1, 0.0, "", "n4"), 99), ((4, 0.0, "a", "zz"), 9), ((4, 0.0, "b", "n1"), 9), ((4, 0.0, "b", "n2"), 99)])
+    got = Q.walk(stored, Q.Query(order="s", limit=7)).orderBy("place").collect()
+    assert [r.address for r in got] == addresses(Q.ordered(nodes, Q.Query(order="s"))) and len(got) == 150
+    assert not Q.walk(nodes.limit(0), Q.Query()).count() and not Q.walk(nodes, Q.Query(limit=0)).count()
+
+
+def test_equal_keys_fill_many_files(spark, tmp_path):
+    nodes = make(spark, [(f"n{i:05d}", "{}") for i in range(2000)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_nodes(nodes, str(tmp_path / "nodes"), ("s",), order="key_s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = store.read_nodes(spark, str(tmp_path / "nodes")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 1500
+
+
 def test_cursor_and_bounds(spark):
     nodes = make(spark, [("a", "{}")])
     for bad in ("!!", "e30", "x" * 5000):
