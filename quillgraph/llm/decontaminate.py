@@ -5,20 +5,22 @@ digits and connectors of any script; a letter of a script that sets no spaces
 between words is a word. An item of W words is leaked where it occurs in a text
 with at most ``k = floor((1 - SIMILARITY) * W)`` word edits.
 
-A window is as long as its item. With k edits at least one of the item's k + 1
-equal parts is untouched, so windows are laid only where a run of
-``W // (k + 1)`` words equals one of the item's; that loses nothing, and where k
-is 0 (items of under five words) such a run is the whole item and is reported
-as it is. A window belongs to the text of its run; where it reaches beyond that
-text's ends (an item that lacks its first or last words) the words there are
-read as none. Windows and items are embedded by a CGK random walk: step j puts
-out the current word and moves on if a random bit of (j, word) says so, which
-keeps words that edits shifted aligned. A repetition samples ``SAMPLED``
-positions of a walk as its key, from the steps of its first ``REACH`` words: the
-more edits lie before a position, the less likely walks still agree there. With
-``WALKS * PER_WALK`` repetitions a window at the threshold shares a key with its
-item with a chance above ``RECALL``, whether words are replaced, inserted,
-deleted or all of these, at 5 to 1,000 words (the tests measure it). Pairs with
+An item is cut into equal sections of at most ``REACH`` words, as the more edits
+lie before a word, the less likely walks still agree there; wherever the edits
+lie, some section has no more of them for its words than the whole item. A
+window is as long as its section. With e edits at least one of e + 1 equal parts
+is untouched, so windows are laid only where a run of ``W // (k + 1)`` words
+equals one of the section's; that loses nothing, and where k is 0 (items of
+under five words) such a run is the whole item and is reported as it is. A
+window belongs to the text of its run; where it reaches beyond that text's ends
+(an item that lacks its first or last words) the words there are read as none.
+Windows and sections are embedded by a CGK random walk: step j puts out the
+current word and moves on if a random bit of (j, word) says so, which keeps
+words that edits shifted aligned. A repetition samples ``SAMPLED`` positions of a
+walk as its key. With ``WALKS * PER_WALK`` repetitions a window at the threshold
+shares a key with its section with a chance above ``RECALL``, whether words are
+replaced, inserted, deleted or all of these, all over an item or in one place, at
+5 to 1,000 words (the tests measure it). Pairs with
 a common key are verified exactly with Myers' bit-parallel edit distance of the
 whole item against the window's surroundings.
 
@@ -153,6 +155,13 @@ def edits_within(peq: dict[int, int], n: int, words: list[int], most: int) -> tu
     return best
 
 
+def sections(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the sections of an item of ``n`` words."""
+    parts = -(-n // REACH)
+    cuts = [n * j // parts for j in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Matcher:
     """A block of items, ready to be searched for in texts."""
 
@@ -169,10 +178,12 @@ class Matcher:
             for i, x in enumerate(w.tolist()):
                 at[x] = at.get(x, 0) | 1 << i
             self.peq.append(at)
-        # sampled positions by item size; W words come out in some 2 W steps
+        cut = [(i, a, n) for i, size in enumerate(self.size.tolist()) for a, n in sections(size)]
+        self.section_item, self.section_at, self.section_size = np.array(cut, np.int64).reshape(-1, 3).T
+        # sampled positions by section size; W words come out in some 2 W steps
         rng = np.random.default_rng(11)
-        self.sample = {int(s): rng.integers(0, 2 * min(s, REACH), (walks, per_walk, sampled)) for s in np.unique(self.size)}
-        self.steps = 2 * min(int(self.size.max()), REACH) if len(found) else 0
+        self.sample = {int(s): rng.integers(0, 2 * s, (walks, per_walk, sampled)) for s in np.unique(self.section_size)}
+        self.steps = 2 * int(self.section_size.max()) if len(found) else 0
         self.whole: dict[int, list[int]] = {}
         for i in np.flatnonzero(self.most == 0).tolist():
             self.whole.setdefault(int(self._runs(self.words[i], len(self.words[i]))[0]), []).append(i)
@@ -180,14 +191,15 @@ class Matcher:
         self._keys()
 
     def _seeds(self) -> None:
-        """Per run length: sorted run hashes with their items' offsets and sizes."""
+        """Per run length: sorted run hashes with their sections' offsets and sizes."""
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for w, n, k in zip(self.words, self.size.tolist(), self.most.tolist(), strict=True):
             g = n // (k + 1)
             if k == 0:  # the run is the item: any run of its length that equals it is an occurrence
                 rows.setdefault(g, []).append((int(self._runs(w, g)[0]), 0, 0))
                 continue
-            rows.setdefault(g, []).extend(zip(self._runs(w, g).tolist(), range(n - g + 1), [n] * (n - g + 1), strict=True))
+            for a, m in sections(n):
+                rows.setdefault(g, []).extend(zip(self._runs(w[a : a + m], g).tolist(), range(m - g + 1), [m] * (m - g + 1), strict=True))
         self.seeds = {}
         for g, got in rows.items():
             got = sorted(set(got))
@@ -220,23 +232,23 @@ class Matcher:
         return out
 
     def _keys(self) -> None:
-        self.keys, self.key_item = np.zeros(0, U), np.zeros(0, np.int64)
+        self.keys, self.key_section = np.zeros(0, U), np.zeros(0, np.int64)
         if not self.ids:
             return
         words = np.concatenate(self.words)
-        starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        keys = self._keys_of(words, starts, self.size, starts, starts + self.size)
-        item = np.repeat(np.arange(len(self.ids)), keys.shape[1])
+        starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])[self.section_item] + self.section_at
+        keys = self._keys_of(words, starts, self.section_size, starts, starts + self.section_size)
+        section = np.repeat(np.arange(len(starts)), keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
-        self.keys, self.key_item = keys.ravel()[order], item[order]
+        self.keys, self.key_section = keys.ravel()[order], section[order]
 
     def windows(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, set]:
-        """(rows, starts, sizes) of the windows that share an untouched run with an item, and the exact (row, start, item) of short items.
+        """(rows, starts, sizes) of the windows that share an untouched run with a section, and the exact (row, start, item) of short items.
 
         ``ends`` are the places after each text's gap. A start may lie before
-        its text, so it is counted as if the longest item's words were free there.
+        its text, so it is counted as if the longest section's words were free there.
         """
-        found, exact, free = [], set(), int(self.size.max())
+        found, exact, free = [], set(), int(self.section_size.max())
         for g, (h, offset, size) in self.seeds.items():
             runs = self._runs(words, g)
             maybe = np.flatnonzero(self.maps[g][(runs >> U(44)).astype(np.int64)])
@@ -260,7 +272,7 @@ class Matcher:
         return rows, starts - (rows + 1) * free, both & (1 << 20) - 1, exact
 
     def candidates(self, words: np.ndarray, ends: np.ndarray):
-        """(row, start, item) triples with a common key."""
+        """(row, start, item) triples with a common key; the start is the item's, counted back from its section's."""
         rows, starts, sizes, pairs = self.windows(words, ends)
         firsts, stops = np.concatenate([[0], ends[:-1]]), ends - 1
         for at in range(0, len(starts), 4096):
@@ -268,7 +280,8 @@ class Matcher:
             keys = self._keys_of(words, s, z, firsts[r], stops[r])
             lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             for row, col in zip(*np.nonzero(hi > lo), strict=True):
-                pairs.update((int(r[row]), int(s[row]), int(i)) for i in self.key_item[lo[row, col] : hi[row, col]])
+                own = self.key_section[lo[row, col] : hi[row, col]]
+                pairs.update(zip([int(r[row])] * len(own), (s[row] - self.section_at[own]).tolist(), self.section_item[own].tolist(), strict=True))
         return pairs
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, float, int]]:
@@ -285,8 +298,11 @@ class Matcher:
             k, n = int(self.most[item]), int(self.size[item])
             if (row, item) in best and best[row, item][0] == 0:
                 continue
-            a = max(first, start - k)
-            if got := edits_within(self.peq[item], n, words[a : min(stop, start + n + 2 * k)].tolist(), k):
+            a, peq = max(first, start - k), self.peq[item]
+            near = words[a : min(stop, start + n + 2 * k)].tolist()
+            if sum(map(peq.__contains__, near)) < n - k:  # k edits leave n - k of the item's words
+                continue
+            if got := edits_within(peq, n, near, k):
                 if (row, item) not in best or got[0] < best[row, item][0]:
                     best[row, item] = (got[0], a - first + got[1])
         return [(r, self.ids[i], e, 1 - e / int(self.size[i]), end) for (r, i), (e, end) in sorted(best.items())]

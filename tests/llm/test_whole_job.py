@@ -2,6 +2,8 @@
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import simhash
 
@@ -100,3 +102,45 @@ def test_leaks_without_their_first_or_last_words_at_the_ends_of_texts():
     together = {r for r, i, *_ in matcher.search(texts) if r == i}
     alone = {r for r in range(100) if any(i == r for _, i, *_ in matcher.search([texts[r]]))}
     assert together == alone and len(together) >= decontaminate.RECALL * 100
+
+
+@pytest.mark.parametrize("size", [101, 250, 600, 1000])
+def test_long_items_are_found_wherever_their_edits_lie(size):
+    import random
+
+    from quillgraph.llm import decontaminate
+
+    rng, items, texts = random.Random(size), [], []
+    for i in range(30):
+        words = [f"v{rng.randrange(4000)}" for _ in range(size)]
+        items.append((i, " ".join(words)))
+        k, new = int(0.2 * size + 1e-9), lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+        front = (new(k) + words[k:], new(k) + words, words[k:])[i % 3]  # all edits at the front: replaced, inserted, deleted
+        texts.append(" ".join(["x"] * 30 + (front if i % 2 else list(reversed(front))) + ["y"] * 30))
+        if not i % 2:
+            items[-1] = (i, " ".join(reversed(words)))
+    matcher = decontaminate.Matcher(items)
+    found = {r: e for r, i, e, *_ in matcher.search(texts) if r == i}
+    assert len(found) >= decontaminate.RECALL * 30 and max(found.values()) <= 0.2 * size
+
+
+def test_pipeline_stages_use_the_ends_of_long_texts(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    from quillgraph.llm import decontaminate, mixing, quality, sharding
+
+    rng = np.random.default_rng(12)
+    body = [f"w{x}" for x in rng.integers(0, 50000, 300_000)]
+    item = " ".join(f"leak{x}" for x in range(40))
+    other = [f"u{x}" for x in rng.integers(0, 50000, 150_000)]
+    # 0 as it is, 1 ends in a passage, 2 has another second half, 3 has another first half and the same second one as 4
+    texts = [" ".join(body), " ".join([*body, item]), " ".join(body[:150_000] + other), " ".join(other + body[150_000:]), " ".join(other[::-1] + body[150_000:])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert len(set(fps[1:])) == 4 and quality.statistics(texts[0]) != quality.statistics(texts[0] + " !!! $$$")
+    assert set(simhash.band_keys(simhash.shingle_set(texts[0]))) - set(simhash.band_keys(simhash.shingle_set(texts[2])))
+    assert {r.doc_id for r in simhash.keep_one(make_docs(list(enumerate(texts))), similarity=0.8).collect()} == {0, 2, 3, 4}
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs(list(enumerate(texts)))
+    assert {r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()} == {0, 2, 3, 4}
+    assert len(decontaminate.words_of(texts[1])) == 300_040
+    sizes = {r.doc_id: (r.n, r.size) for r in docs.select("doc_id", mixing.word_count(F.col("text")).alias("n"), sharding.measures()["size"].alias("size")).collect()}
+    assert sizes == {i: (len(t.split()), len(t) + 1) for i, t in enumerate(texts)}
