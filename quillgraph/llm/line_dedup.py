@@ -116,10 +116,10 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return others.select(*_pair(F.col("h"), F.col("hub"))), others.drop("hub")
 
 
-def _shingles(units: Column) -> Column:
-    """The distinct hashes; the outer transform binds the bytes, which a lambda would else copy for each shingle."""
+def _shingles(line: Column) -> Column:
+    """The distinct hashes; the outer transform binds the units, which a lambda would else make anew for each shingle."""
     spots = lambda u: F.sequence(F.lit(1), F.octet_length(u) - (2 * SHINGLE - 1), F.lit(2))
-    hashes = F.transform(F.array(units), lambda u: F.transform(spots(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
+    hashes = F.transform(F.array(_units(line)), lambda u: F.transform(spots(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
     return F.array_distinct(F.flatten(hashes))
 
 
@@ -138,8 +138,8 @@ def _alike(a: Column, b: Column, similarity: float) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this exact Jaccard similarity of shingles."""
-    both = pairs.join(texts.withColumnsRenamed({"h": "a", "units": "ua"}), "a").join(texts.withColumnsRenamed({"h": "b", "units": "ub"}), "b")
-    both = both.select("a", "b", _shingles(F.col("ua")).alias("sa"), _shingles(F.col("ub")).alias("sb"))
+    both = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
+    both = both.select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
     return both.filter(_similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
 
 
@@ -166,7 +166,8 @@ def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def bitmaps(texts: DataFrame) -> DataFrame:
     """h, how many shingles (repeats counted), and 64 * WORDS bits (w0, ...) of which each distinct shingle sets one."""
-    cells = texts.select("h", "units", F.explode(F.sequence(F.lit(1), F.octet_length("units") - (2 * SHINGLE - 1), F.lit(2))).alias("i"))
+    cells = texts.select("h", _units(F.col("line")).alias("units"))
+    cells = cells.select("h", "units", F.explode(F.sequence(F.lit(1), F.octet_length("units") - (2 * SHINGLE - 1), F.lit(2))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i"), F.lit(2 * SHINGLE))).alias("v"))
     word, bit = F.shiftrightunsigned("v", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(v & 63 AS int))")
     return cells.groupBy("h").agg(F.count("*").alias("n_all"), *(F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(WORDS)))
@@ -186,7 +187,7 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     # 0 is of the largest component, 1 looks for others in this block, 2 in another block
     role = F.when(F.col("main"), 0).when(F.pmod("h", "blocks") == F.col("block"), 1).otherwise(2)
     words = [f"w{w}" for w in range(WORDS)]
-    columns = ["h", "root", "role", "own", "n_all", "units", *words]
+    columns = ["h", "root", "role", "own", "n_all", "line", *words]
     # both sides use the same columns, so that they read one shuffle
     left = rows.withColumn("role", role).select("key", "block", *columns).repartition("key", "block")
     right = left.toDF("key", "block", *(f"{c}_b" for c in columns))
@@ -195,17 +196,17 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     for w in words:
         odd = odd + F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b")))
     near = odd <= (F.col("n_all") + F.col("n_all_b")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    exact = _alike(F.col("units"), F.col("units_b"), similarity)
+    exact = _alike(F.col("line"), F.col("line_b"), similarity)
     found = F.when(apart & near, F.when(~F.arrays_overlap("own", "own_b"), exact).otherwise(False)).otherwise(False)
     both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & found)
     return both.select(*_pair(F.col("h"), F.col("h_b")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and units of every line of ``wanted`` (h, unique)."""
+    """h and line of every line of ``wanted`` (h, unique); UTF-8, as units take twice the space."""
     lines = line_table(docs).select("h", "line")
     lines = spread_join(lines, materialize(wanted, "lines-wanted").withColumn("times", F.lit(1)), "h", "times")
-    return materialize(lines.groupBy("h").agg(F.max("line").alias("line")).select("h", _units(F.col("line")).alias("units")), "lines-texts")
+    return materialize(lines.groupBy("h").agg(F.max("line").alias("line")), "lines-texts")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
