@@ -3,13 +3,14 @@
 A line's set is its 8-character shingles (of UTF-16 units). Shingles are
 exploded below a hash aggregate on the line's 64-bit hash, which merges
 repeated lines before its shuffle; neither a shingle nor a text moves. The last
-two bits of a shingle's hash put it into one of four parts, and four MinHash
-functions a part take the least rotation of the hash. The 16 minima are laid
+four bits of a shingle's hash put it into one of 16 parts, and the least hash
+of each part is a minimum (MinHash by one permutation). An empty part takes
+that of the next in its group of four that has one. The 16 minima are laid
 out as the points of the affine plane over four elements, and each of its 20
 lines of four points is a band. Whichever minima agree, six or fewer that
-differ leave a band whole, so 16 functions give lines of Jaccard similarity 0.8
-a common bucket with probability 0.995 (10 to 400 shingles, by simulation; a
-part without shingles in both lines agrees), of 0.9 with 0.9999.
+differ leave a band whole, so 16 minima give lines of Jaccard similarity 0.8
+a common bucket with probability 0.995 or more (5 to 400 shingles, by
+simulation; a group without shingles in both lines agrees).
 
 A bucket of two is its pair. In a larger one each member is compared with the
 bucket's hub, the member whose buckets are largest, and the links found are
@@ -75,23 +76,23 @@ def bands() -> list[list[int]]:
     return upright + [[x * SIDE + (_times(s, x) ^ c) for x in range(SIDE)] for s in range(SIDE) for c in range(SIDE)]
 
 
-def _turned(v: Column, bits: int) -> Column:
-    return F.shiftleft(v, bits).bitwiseOR(F.shiftrightunsigned(v, 64 - bits)) if bits else v
-
-
 def signatures(lines: DataFrame) -> DataFrame:
-    """h and the keys of its buckets, one row per distinct line with a shingle."""
+    """h and its minima (m0, ..., their upper halves), one row per distinct line with a shingle."""
     cells = lines.select("h", _units(F.col("line")).alias("units")).filter(F.octet_length("units") >= 2 * SHINGLE)
     cells = cells.select("h", "units", F.explode(F.sequence(F.lit(0), (F.octet_length("units") / 2 - SHINGLE).cast("int"))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("v"))
-    part, turn = F.col("v").bitwiseAND(F.lit(SIDE - 1)), 64 // SIDE
-    least = [F.min(F.when(part == j // SIDE, _turned(F.col("v"), turn * (j % SIDE)))).alias(f"m{j}") for j in range(MINIMA)]
-    mins = cells.groupBy("h").agg(*least)
-    keys = [
-        F.when(F.coalesce(*(F.col(f"m{j}") for j in band)).isNotNull(), F.xxhash64(F.lit(b), *(F.coalesce(f"m{j}", F.lit(LAST)) for j in band)))
-        for b, band in enumerate(bands())
-    ]
-    return mins.select("h", F.array_compact(F.array(*keys)).alias("keys"))
+    # by FILTER a shingle updates the one minimum of its part
+    mins = cells.groupBy("h").agg(*(F.expr(f"min(v) FILTER (WHERE (v & {MINIMA - 1}) = {j})").alias(f"m{j}") for j in range(MINIMA)))
+    for near in (1, 2):
+        mins = mins.select("h", *(F.coalesce(f"m{j}", f"m{j ^ near}").alias(f"m{j}") for j in range(MINIMA)))
+    return mins.select("h", *(F.shiftright(f"m{j}", 32).cast("int").alias(f"m{j}") for j in range(MINIMA)))
+
+
+def bucket_keys(signed: DataFrame) -> DataFrame:
+    """h, key: one row per bucket of a line; a band of one empty group is none."""
+    keys = [F.xxhash64(F.lit(b), *(f"m{j}" for j in band)) for b, band in enumerate(bands())]
+    keys[:SIDE] = [F.when(F.col(f"m{x * SIDE}").isNotNull(), key) for x, key in enumerate(keys[:SIDE])]
+    return signed.select("h", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -100,7 +101,7 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): (a, b) of the buckets of two lines; key, n, h of all larger ones."""
-    cells = signed.select("h", F.explode("keys").alias("key"))
+    cells = bucket_keys(signed)
     shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).filter("n > 1")
     shared = materialize(shared, "lines-buckets")
     members = spread_join(cells, shared.filter("n > 2").select("key", "n", F.col("n").alias("size")), "key", "size")
@@ -117,30 +118,28 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _shingles(line: Column) -> Column:
-    """The distinct hashes; the outer transform binds the units, which a lambda would else make anew for each shingle."""
+    """The hashes, repeats included; the outer transform binds the units, which a lambda would else make anew for each shingle."""
     spots = lambda u: F.sequence(F.lit(1), F.octet_length(u) - (2 * SHINGLE - 1), F.lit(2))
     hashes = F.transform(F.array(_units(line)), lambda u: F.transform(spots(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
-    return F.array_distinct(F.flatten(hashes))
+    return F.get(hashes, F.lit(0))
 
 
-def _similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two sets have at least this exact Jaccard similarity; sizes that rule it out are met first."""
-    n, m, common = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
-    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-9)
-    return F.when(sizes, common >= similarity * (n + m - common) - F.lit(1e-9)).otherwise(False)
-
+def _similar(n: Column, m: Column, a: Column, b: Column, similarity: float) -> Column:
+    """Whether lines a and b, of n and m distinct shingles, have at least this exact Jaccard similarity.
 
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """The same of two lines; the transform binds their sets, which would else be made anew at each place of use."""
-    sets = F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))
-    return F.get(F.transform(F.array(sets), lambda s: _similar(s["a"], s["b"], similarity)), 0)
+    Counts that rule it out are met first. Each line's hashes are named once, as
+    a condition makes them anew at every place of use.
+    """
+    common = F.size(F.array_intersect(_shingles(a), _shingles(b)))
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(1e-9)
+    return F.when(sizes, common * (1 + similarity) >= similarity * (n + m) - F.lit(1e-9)).otherwise(False)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have at least this exact Jaccard similarity of shingles."""
-    both = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b")
-    both = both.select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
-    return both.filter(_similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
+    left, right = (texts.withColumnsRenamed({"h": c, "line": f"l{c}", "shingles": f"n{c}"}) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(_similar(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), similarity)).select("a", "b")
 
 
 def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -165,12 +164,12 @@ def split_members(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """h, how many shingles (repeats counted), and 64 * WORDS bits (w0, ...) of which each distinct shingle sets one."""
+    """h and 64 * WORDS bits (w0, ...) of which each distinct shingle sets one."""
     cells = texts.select("h", _units(F.col("line")).alias("units"))
     cells = cells.select("h", "units", F.explode(F.sequence(F.lit(1), F.octet_length("units") - (2 * SHINGLE - 1), F.lit(2))).alias("i"))
     cells = cells.select("h", F.xxhash64(F.substring("units", F.col("i"), F.lit(2 * SHINGLE))).alias("v"))
-    word, bit = F.shiftrightunsigned("v", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(v & 63 AS int))")
-    return cells.groupBy("h").agg(F.count("*").alias("n_all"), *(F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(WORDS)))
+    bits = "bit_or(shiftleft(1L, cast(v & 63 AS int))) FILTER (WHERE (shiftrightunsigned(v, 6) & {}) = {})"
+    return cells.groupBy("h").agg(*(F.coalesce(F.expr(bits.format(WORDS - 1, w)), F.lit(0)).alias(f"w{w}") for w in range(WORDS)))
 
 
 def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -179,7 +178,7 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     The members outside of a bucket's largest component are compared with all
     others. Bits that only one line has are at most as many as the shingles
     that only one has, so a pair with too many of them cannot be similar; the
-    sets of the others are made and compared within the join.
+    shingles of the others are made and compared within the join.
     """
     texts = texts.join(split.select("h").distinct(), "h", "left_semi")
     rows = split.join(materialize(texts.join(bitmaps(texts), "h"), "lines-bits"), "h").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
@@ -187,7 +186,7 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     # 0 is of the largest component, 1 looks for others in this block, 2 in another block
     role = F.when(F.col("main"), 0).when(F.pmod("h", "blocks") == F.col("block"), 1).otherwise(2)
     words = [f"w{w}" for w in range(WORDS)]
-    columns = ["h", "root", "role", "own", "n_all", "line", *words]
+    columns = ["h", "root", "role", "own", "shingles", "line", *words]
     # both sides use the same columns, so that they read one shuffle
     left = rows.withColumn("role", role).select("key", "block", *columns).repartition("key", "block")
     right = left.toDF("key", "block", *(f"{c}_b" for c in columns))
@@ -195,18 +194,19 @@ def other_links(split: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     odd = F.lit(0)
     for w in words:
         odd = odd + F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b")))
-    near = odd <= (F.col("n_all") + F.col("n_all_b")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    exact = _alike(F.col("line"), F.col("line_b"), similarity)
+    near = odd <= (F.col("shingles") + F.col("shingles_b")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    exact = _similar(F.col("shingles"), F.col("shingles_b"), F.col("line"), F.col("line_b"), similarity)
     found = F.when(apart & near, F.when(~F.arrays_overlap("own", "own_b"), exact).otherwise(False)).otherwise(False)
     both = left.hint("merge").join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & found)
     return both.select(*_pair(F.col("h"), F.col("h_b")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and line of every line of ``wanted`` (h, unique); UTF-8, as units take twice the space."""
+    """h, line and shingles (how many distinct ones) of every line of ``wanted`` (h, unique); UTF-8, as units take twice the space."""
     lines = line_table(docs).select("h", "line")
     lines = spread_join(lines, materialize(wanted, "lines-wanted").withColumn("times", F.lit(1)), "h", "times")
-    return materialize(lines.groupBy("h").agg(F.max("line").alias("line")), "lines-texts")
+    texts = lines.groupBy("h").agg(F.max("line").alias("line"))
+    return materialize(texts.withColumn("shingles", F.size(F.array_distinct(_shingles(F.col("line"))))), "lines-texts")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:

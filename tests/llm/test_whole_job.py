@@ -1,11 +1,13 @@
 """Cases that the operators once missed: near copies beyond a few bits, shifted leaks, whole walks."""
 
+import random
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import simhash
+from quillgraph.llm import line_dedup, simhash
 
 
 def brute_similar(texts, similarity=0.8, width=5):
@@ -144,3 +146,28 @@ def test_pipeline_stages_use_the_ends_of_long_texts(spark, make_docs, tmp_path):
     assert len(decontaminate.words_of(texts[1])) == 300_040
     sizes = {r.doc_id: (r.n, r.size) for r in docs.select("doc_id", mixing.word_count(F.col("text")).alias("n"), sharding.measures()["size"].alias("size")).collect()}
     assert sizes == {i: (len(t.split()), len(t) + 1) for i, t in enumerate(texts)}
+
+
+def test_line_pairs_make_shingles_once(spark):
+    lines = [(1, "a line of some shingles", 16), (2, "a line of some shinglez", 16), (3, "another that is as long", 16)]
+    texts = spark.createDataFrame(lines, "h long, line string, shingles int")
+    found = line_dedup.verified(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+
+
+def test_line_signatures_are_small_and_meet(spark):
+    rng, letters, pairs = random.Random(5), "abcdefghijklmnopqrstuvwxyz", []
+    for _ in range(500):
+        # one letter of 79 is another: 64 shingles are common, 80 in all
+        a = "".join(rng.choices(letters, k=79))
+        pairs.append((a, a[:40] + "#" + a[41:]))
+    pairs = spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"), "a", "b").cache()
+    lines = pairs.select(F.col("ha").alias("h"), F.col("a").alias("line")).union(pairs.select("hb", "b"))
+    signed = line_dedup.signatures(lines)
+    assert [t for c, t in signed.dtypes if c != "h"] == ["int"] * 16
+    keys = line_dedup.bucket_keys(signed)
+    assert keys.count() == 20 * 1000
+    left, right = keys.toDF("ha", "key"), keys.toDF("hb", "key_b")
+    met = pairs.join(left, "ha").join(right, "hb").filter("key = key_b").select("ha").distinct().count()
+    assert met >= 0.985 * 500
