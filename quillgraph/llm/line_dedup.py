@@ -9,8 +9,8 @@ that of the next in its group of four that has one. The 16 minima are laid
 out as the points of the affine plane over four elements, and each of its 20
 lines of four points is a band. Whichever minima agree, six or fewer that
 differ leave a band whole, so 16 minima give lines of Jaccard similarity 0.8
-a common bucket with probability 0.995 or more (5 to 400 shingles, by
-simulation; a group without shingles in both lines agrees).
+a common bucket with probability 0.995 (400 shingles) to 1 (under 12), by
+simulation; a group without shingles in both lines agrees.
 
 A bucket of two is its pair. In a larger one each member is compared with the
 bucket's hub, the member whose buckets are largest, and the links found are
